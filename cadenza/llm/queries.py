@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, mixing
+from . import chat_format, decontam, lang_id, mixing, near_dup, page_diff, quality_rules, secret_scan, toxicity, warc_zip
 from .common import table
 
 
@@ -116,9 +116,53 @@ SELECT *, size * copies AS taken FROM z
 """
 )
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("row.doc_id", "stats.n_words", *[f"stats.{c}" for c in quality_rules.STATS[1:]], "base_failed", "kept")
+
+
+def op3_warc_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), warc_zip.new_folder(spark))
+    return warc_zip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
+
+
+def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = lang_id.train(documents)
+    return lang_id.predict(documents.select("doc_id", "text"), net).select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(documents, secret_scan.train(documents))
+    shown = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, secret_scan.KINDS), F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", shown), ",").alias("spans"),
+    )
+
+
+def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
-    "op1_chat_prefix_targets": op1_chat_prefix_targets,
-    "op6_decontaminate": op6_decontaminate,
-    "op10_mix_to_weights": op10_mix_to_weights,
-}
+    f.__name__: f
+    for f in (
+        op1_chat_prefix_targets, op2_quality_rules, op3_warc_zip_packages, op4_page_differencing, op5_byte_gru_language,
+        op6_decontaminate, op7_minhash_near_duplicates, op8_secret_scan, op9_ftrl_toxicity, op10_mix_to_weights,
+    )
+}
 ORACLE = {"op1_chat_prefix_targets": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mix_to_weights": OP10_SQL}
