@@ -8,10 +8,12 @@ r"""MinHash near-duplicates by a signature-coordinate inverted join, confirmed o
    others are posted under this prefix only: the frequent pairs (common passages) are skipped.
 3. In the posting lists, collisions are counted between each member and the list's first class, and each member's best
    such partner becomes a candidate. Candidates are confirmed on full sets; confirmed ones are joined to components.
-4. Lists whose members are all in one component are skipped. In the others, signatures are compared between components,
-   in blocks of `BLOCK` members, and each member's best `BEST` pairs of MATCHES or more become candidates; then 3 again,
-   until a round finds none. From round `ALL_FROM` on, all such pairs are candidates. So no link between two components
-   is lost, while no list is expanded into all its pairs.
+4. Lists whose members are all in one component are skipped. In the others, signatures are compared between components: in
+   lists of up to `SMALL` members, by one comparison for each different pair; in longer ones, in blocks of `BLOCK` members.
+   Pairs that agree in MATCHES places or more become candidates: all of them from short lists, each member's best `BEST`
+   from long ones. Then 3 again, until a round finds none; where no long list is mixed, one round has seen all. From round
+   `ALL_FROM` on, all such pairs of long lists are candidates too. So no link between two components is lost, while no
+   long list is expanded into all its pairs.
 
 A pair with similarity s at the threshold is missed if its signatures agree in fewer than MATCHES places: the probability is 2.4e-6.
 
@@ -38,7 +40,7 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 85
 COORDS, MATCHES, SEED = 64, 40, 20260101
-BLOCK, BEST, ALL_FROM = 2048, 3, 4
+SMALL, BLOCK, BEST, ALL_FROM = 16, 2048, 3, 4
 VOCABULARY = 1 << 18  # words whose hashes a worker remembers at a time
 
 
@@ -68,16 +70,17 @@ def shingle_set(text: str | None, hashes: dict, size: int = SHINGLE) -> np.ndarr
 
 def _coefficients(coords: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(1, 1 << 63, coords, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, coords, np.uint64)
+    return rng.integers(0, 1 << 32, (coords, 1), np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, (coords, 1), np.uint32)
 
 
 def signature(shingles: np.ndarray, coords: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """uint32 minima of the multiply-shift hashes of a set, one per coordinate."""
+    """uint32 minima of a set, one per coordinate, each under its own permutation a x + b of the numbers below 2^32."""
     a, b = coords
-    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 4096):
-        x = shingles[at : at + 4096]
-        np.minimum(out, (a[:, None] * x[None, :] + b[:, None] >> np.uint64(32)).min(1).astype(np.uint32), out=out)
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 2048):
+        h = a * x[at : at + 2048]
+        h += b
+        np.minimum(out, h.min(1), out=out)
     return out
 
 
@@ -213,16 +216,14 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     tried = _confirmed(pairs, sets)
     comps = components(tried.where("linked"))
     for turn in range(1, 1000):
-        pairs = written(_across(lists, classes, comps, turn >= ALL_FROM), "near-across")
-        new = _confirmed(pairs.join(tried, ["a", "b"], "left_anti").select("a", "b"), sets)
-        if new.isEmpty():
-            break
+        pairs, long_lists = _across(lists, classes, comps, tried, turn >= ALL_FROM)
+        new = _confirmed(pairs, sets)
+        found = not new.where("linked").isEmpty()
         tried = tried.union(new)
-        if new.where("linked").isEmpty():
-            if turn >= ALL_FROM:
-                break
-            continue
-        comps = components(tried.where("linked"))
+        if found:
+            comps = components(tried.where("linked"))
+        if not long_lists or new.isEmpty() or (not found and turn >= ALL_FROM):
+            break
 
     comp = named.groupBy("cls").agg(F.min("doc_id").alias("first_doc")).join(comps.withColumnRenamed("node", "cls"), "cls")
     roots = comp.groupBy("comp").agg(F.min("first_doc").alias("root"))
@@ -233,20 +234,33 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     return out.select("doc_id", "fingerprint", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs (a, b) between components, from lists that hold more than one."""
+def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, tried: DataFrame, every: bool) -> tuple[DataFrame, bool]:
+    """Candidate pairs (a, b) between components, without those tried, from lists that hold more than one; and whether some of these lists are long."""
     rows = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"))
     rows = written(rows, "near-members")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
-    mixed = mixed.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # Block pairs i <= j: a member of block k is on side 0 where i = k and on side 1 where j = k < i is not.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rows = rows.select("token", "cls", "comp", "block", other)
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("token", "n")
+    rows = written(rows.join(mixed, "token"), "near-mixed")
+    sigs = classes.select("cls", "sig")
+
+    # Short lists: their pairs, at most (SMALL - 1) / 2 for each row, each compared once.
+    members = rows.where(F.col("n") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("cls", "comp")).alias("m"))
+    later = lambda i: F.slice("m", i + 2, F.lit(SMALL))
+    cross = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(later(i), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(F.least(x["cls"], y["cls"]).alias("a"), F.greatest(x["cls"], y["cls"]).alias("b")))))
+    pairs = members.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("t")), "b")
+    same = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    pairs = written(pairs.where(same >= MATCHES).select("a", "b"), "near-across")
+
+    # Long lists, in block pairs i <= j: a member of block k is on side 0 where i = k, and on side 1 where j = k > i.
+    rows = rows.where(F.col("n") > SMALL)
+    if rows.isEmpty():
+        return pairs, False
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.select("token", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     rows = rows.select("token", "cls", "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
-    rows = rows.join(classes.select("cls", "sig"), "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = rows.mapInPandas(_compare(every), "a long, b long, matches long")
-    return found.groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    rows = rows.join(sigs, "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    found = rows.mapInPandas(_compare(every), "a long, b long, matches long").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return written(pairs.union(found).distinct(), "near-across"), True
 
 
 def drop_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
