@@ -8,14 +8,14 @@ r"""MinHash near-duplicates by a signature-coordinate inverted join, confirmed o
    others are posted under this prefix only: the frequent pairs (common passages) are skipped.
 3. In the posting lists, collisions are counted between each member and the list's first class, and each member's best
    such partner becomes a candidate. Candidates are confirmed on full sets; confirmed ones are joined to components.
-4. Lists whose members are all in one component are skipped. In the others, signatures are compared between components: in
-   lists of up to `SMALL` members, by one comparison for each different pair; in longer ones, in blocks of `BLOCK` members.
-   Pairs that agree in MATCHES places or more become candidates: all of them from short lists, each member's best `BEST`
-   from long ones. Then 3 again, until a round finds none; where no long list is mixed, one round has seen all. From round
-   `ALL_FROM` on, all such pairs of long lists are candidates too. So no link between two components is lost, while no
-   long list is expanded into all its pairs.
+4. Lists whose members are all in one component are skipped. In the others, all pairs between components whose signatures
+   agree in MATCHES places or more are confirmed on full sets: those of lists of up to `SMALL` members as a table of
+   different pairs, those of longer lists in blocks of `BLOCK` members against blocks, in a task each, where intersections
+   of all pairs are one matrix product, and only links that join two components of the block pair leave the task. So
+   every pair is looked at, while no long list is expanded into its pairs. Then components once more.
 
-A pair with similarity s at the threshold is missed if its signatures agree in fewer than MATCHES places: the probability is 2.4e-6.
+A pair with similarity s at the threshold is missed if its signatures agree in fewer than MATCHES places: the probability
+is 2.4e-6.
 
 Words: A-Z lower-cased, ``[^\x20\x09-\x0D]+``. Defined cases: null or empty text has an empty set, linked with nothing;
 texts of one or two words have one shingle; a null doc_id stands for no component (component_id null, kept true) and is
@@ -40,7 +40,9 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 85
 COORDS, MATCHES, SEED = 64, 40, 20260101
-SMALL, BLOCK, BEST, ALL_FROM = 16, 2048, 3, 4
+SMALL, BLOCK = 16, 512
+#: Columns of the incidence matrices at a time.
+WIDTH = 8192
 VOCABULARY = 1 << 18  # words whose hashes a worker remembers at a time
 
 
@@ -131,56 +133,87 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _compare(every: bool):
-    """Lists (rows sorted by token, i, j: side 0 and 1) to pairs (a, b, matches) between components."""
-
-    def flush(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        g = pd.concat(rows) if len(rows) > 1 else rows[0]
-        one = g[g.side != 1]
-        two = one if (g.i.iat[0] == g.j.iat[0]) else g[g.side == 1]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "matches": []}, dtype="int64")
-        sig = lambda x: np.stack(x.sig.to_numpy()).astype(np.int32)
-        s, t = sig(one), sig(two)
-        same = np.zeros((len(s), len(t)), np.uint8)
-        for k in range(COORDS):
-            same += s[:, k, None] == t[None, :, k]
-        same[one.comp.to_numpy()[:, None] == two.comp.to_numpy()[None, :]] = 0
-        keep = same >= MATCHES
-        if not every:
-            keep &= _best(same) | _best(same.T).T
-        x, y = np.nonzero(keep)
-        a, b = one.cls.to_numpy()[x], two.cls.to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "matches": same[x, y].astype("int64")}).drop_duplicates()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        key = None
-        for batch in batches:
-            for k, g in batch.groupby(["token", "i", "j"], sort=False):
-                if k != key and held:
-                    yield flush(held)
-                    held = []
-                key = k
-                held.append(g)
-        if held:
-            yield flush(held)
-
-    return run
-
-
-def _best(same: np.ndarray) -> np.ndarray:
-    if same.shape[1] <= BEST:
-        return np.ones(same.shape, bool)
-    out = np.zeros(same.shape, bool)
-    np.put_along_axis(out, np.argpartition(-same.astype(np.int16), BEST - 1, axis=1)[:, :BEST], True, axis=1)
+def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one with all of two."""
+    at = lambda sets: np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    x, y = np.concatenate(one), np.concatenate(two)
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(one), len(two)), np.float32)
+    side = []
+    for values, rows in ((x, at(one)), (y, at(two))):
+        k = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        keep = common[k] == values if len(common) else np.zeros(len(values), bool)
+        k, rows = k[keep], rows[keep]
+        order = np.argsort(k, kind="stable")
+        side.append((k[order], rows[order]))
+    for lo in range(0, len(common), WIDTH):
+        parts = []
+        for (k, rows), n in zip(side, out.shape, strict=True):
+            s, e = np.searchsorted(k, [lo, lo + WIDTH])
+            m = np.zeros((n, min(WIDTH, len(common) - lo)), np.float32)
+            m[rows[s:e], k[s:e] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
     return out
 
 
+def _links(one: pd.DataFrame, two: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join what they can join."""
+    sig = lambda g: np.stack(g.sig.to_numpy()).astype(np.int32)
+    s, t = sig(one), sig(two)
+    same = np.zeros((len(s), len(t)), np.uint8)
+    for k in range(COORDS):
+        same += s[:, k, None] == t[None, :, k]
+    ok = (same >= MATCHES) & (one.comp.to_numpy()[:, None] != two.comp.to_numpy()[None, :])
+    if not ok.any():
+        return []
+    sets = lambda g: [np.frombuffer(x, np.uint64) for x in g.shingles]
+    a, b = sets(one), sets(two)
+    both = _intersections(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, left, right = [], one[["cls", "comp"]].to_numpy(), two[["cls", "comp"]].to_numpy()
+    for i, j in zip(*np.nonzero(ok & (100 * both >= PERCENT * union)), strict=True):
+        x, y = find(left[i, 1]), find(right[j, 1])
+        if x != y:
+            root[x] = y
+            out.append((left[i, 0], right[j, 0]))
+    return out
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of token, i, j (members of a block pair, on side 0 and 1) to links (a, b)."""
+    held: list[pd.DataFrame] = []
+    key = None
+
+    def flush() -> pd.DataFrame:
+        g = pd.concat(held)
+        one = g[g.side == 0]
+        found = _links(one, one if key[1] == key[2] else g[g.side == 1]) if len(one) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    for batch in batches:
+        for k, g in batch.groupby(["token", "i", "j"], sort=False):
+            if k != key and held:
+                yield flush()
+                held = []
+            key = k
+            held.append(g)
+    if held:
+        yield flush()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of pairs, compared on full sets."""
+    """The pairs (a, b) that are linked, by their full sets."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.select("a", "b", _similar("x", "y").alias("linked")), "near-pairs")
+    return written(both.select("a", "b", _similar("x", "y").alias("linked")).where("linked").select("a", "b"), "near-pairs")
 
 
 def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,17 +246,11 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     first = lists.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hits = lists.join(first, "token").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
     pairs = hits.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    tried = _confirmed(pairs, sets)
-    comps = components(tried.where("linked"))
-    for turn in range(1, 1000):
-        pairs, long_lists = _across(lists, classes, comps, tried, turn >= ALL_FROM)
-        new = _confirmed(pairs, sets)
-        found = not new.where("linked").isEmpty()
-        tried = tried.union(new)
-        if found:
-            comps = components(tried.where("linked"))
-        if not long_lists or new.isEmpty() or (not found and turn >= ALL_FROM):
-            break
+    links = _confirmed(pairs, sets)
+    comps = components(links)
+    more = _across(lists, classes, comps, sets)
+    if more is not None:
+        comps = components(links.union(more))
 
     comp = named.groupBy("cls").agg(F.min("doc_id").alias("first_doc")).join(comps.withColumnRenamed("node", "cls"), "cls")
     roots = comp.groupBy("comp").agg(F.min("first_doc").alias("root"))
@@ -234,33 +261,32 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     return out.select("doc_id", "fingerprint", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, tried: DataFrame, every: bool) -> tuple[DataFrame, bool]:
-    """Candidate pairs (a, b) between components, without those tried, from lists that hold more than one; and whether some of these lists are long."""
+def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) between components, from lists that hold more than one; None if no list does."""
     rows = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"))
     rows = written(rows, "near-members")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("token", "n")
     rows = written(rows.join(mixed, "token"), "near-mixed")
+    if rows.isEmpty():
+        return None
     sigs = classes.select("cls", "sig")
 
     # Short lists: their pairs, at most (SMALL - 1) / 2 for each row, each compared once.
     members = rows.where(F.col("n") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("cls", "comp")).alias("m"))
     later = lambda i: F.slice("m", i + 2, F.lit(SMALL))
     cross = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(later(i), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(F.least(x["cls"], y["cls"]).alias("a"), F.greatest(x["cls"], y["cls"]).alias("b")))))
-    pairs = members.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = members.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct()
     pairs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("t")), "b")
     same = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = written(pairs.where(same >= MATCHES).select("a", "b"), "near-across")
+    links = _confirmed(pairs.where(same >= MATCHES).select("a", "b"), sets)
 
     # Long lists, in block pairs i <= j: a member of block k is on side 0 where i = k, and on side 1 where j = k > i.
     rows = rows.where(F.col("n") > SMALL)
-    if rows.isEmpty():
-        return pairs, False
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.select("token", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     rows = rows.select("token", "cls", "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
-    rows = rows.join(sigs, "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = rows.mapInPandas(_compare(every), "a long, b long, matches long").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return written(pairs.union(found).distinct(), "near-across"), True
+    rows = rows.join(sigs, "cls").join(sets, "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return links.union(written(rows.mapInPandas(_compare, "a long, b long"), "near-across"))
 
 
 def drop_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,9 +62,10 @@ def test_against_brute_force(spark, seed):
     assert linked(spark, rows) == brute(rows)
 
 
-def test_blocks_and_best_pairs_lose_nothing(spark, monkeypatch):
+def test_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 5)
-    monkeypatch.setattr(near_dup, "BEST", 1)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "WIDTH", 50)
     rows = made(3, groups=6, size=25)
     assert linked(spark, rows) == brute(rows)
 
