@@ -59,6 +59,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def below_rate(key: Column, rate: Column | float) -> Column:
+    """Whether a row with this hash (a long) falls in a sample of `rate`; the same rows on every run and cluster."""
+    return F.pmod(key, F.lit(1 << 30)) < rate * float(1 << 30)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

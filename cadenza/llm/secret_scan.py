@@ -4,7 +4,7 @@ Patterns, leftmost and non-overlapping per kind: `assign`, `access` and `hex` (s
 more characters of ``[A-Za-z0-9+/_=-]`` that no pattern span overlaps is scored by two first-order Markov models over
 characters: one of random strings, one of ordinary identifiers. A run whose log-likelihood ratio is above the threshold is
 a `random` span. Both models are trained from labelled samples: random strings from a seeded generator, identifiers made of
-words of at most `TRAIN_DOCS` documents (the first by hash of their id, at most `TRAIN_WORDS` words from each). The
+words of about `TRAIN_DOCS` documents (those whose hash is below a rate; `TRAIN_WORDS` words from each at most). The
 threshold is set on a part of the samples that the models have not seen.
 
 Offsets are code points, the end exclusive. Defined cases: null and empty text has no spans; repeated rows each get their
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import below_rate
+
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns.
 PATTERNS = {
@@ -109,7 +111,8 @@ def identifiers(words: list[str], n: int = SAMPLES, seed: int = SEED) -> list[st
 
 def train(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> Model:
     rows = documents.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc), F.length(text)).alias("h"), F.slice(F.split(F.col(text), "[^A-Za-z]+", TRAIN_WORDS + 1), 1, TRAIN_WORDS).alias("w"))
-    rows = rows.orderBy("h").limit(TRAIN_DOCS).collect()
+    n = rows.count()
+    rows = rows.where(below_rate(F.col("h"), min(1.0, TRAIN_DOCS / max(n, 1)))).select("w").collect()
     return Model(random_strings(), identifiers([w for r in rows for w in r["w"] if 1 < len(w) <= 24]))
 
 
