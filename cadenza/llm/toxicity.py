@@ -4,9 +4,9 @@ Features of a text, each counted once: words, pairs of neighbours, and pairs wit
 runs of letters), hashed to `SPACE` coordinates. FTRL-proximal has a rate of its own for each coordinate, and its L1 term
 leaves most weights at zero, so what goes to the executors is the few non-zero ones.
 
-Training takes at most `TRAIN_ROWS` labelled rows of each label (the first by hash of their id; texts of more than `TRAIN_CHARS`
-characters are left out of it). Scores are for whole texts of all rows. Defined cases: null and empty text has no feature
-and gets the score of the bias; rows with a null id or label are not trained on; without labels all scores are 0; repeated
+Training takes about `TRAIN_ROWS` labelled rows of each label (those whose id's hash is below a rate; texts of more than
+`TRAIN_CHARS` characters are left out of it). Scores are for whole texts of all rows. Defined cases: null and empty text has no feature
+and gets the score of the bias; rows with a null id or label are not trained on, and of several labels of an id, 1 counts; without labels all scores are 0; repeated
 rows each get their score; `score` keeps all columns of its input.
 """
 
@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
+from .common import below_rate
+
 SPACE_BITS = 20
 SPACE = 1 << SPACE_BITS
-TRAIN_ROWS, TRAIN_CHARS = (6_000, 8_000), 50_000  # rows with label 1, with label 0
+TRAIN_ROWS, TRAIN_CHARS = (5_000, 6_000), 50_000  # rows with label 1, with label 0
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 2.0, 1.0, 4.0, 0.0, 4, 11
 #: Features of fewer training texts are left out; every fifth training row sets the bias instead of weights.
 LEAST_TEXTS, CALIBRATE = 3, 5
@@ -52,12 +54,12 @@ class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss on binary features; the last coordinate is the bias, without L1."""
 
     def __init__(self, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
+        self.alpha, self.beta, self.l2 = alpha, beta, l2
+        self.z, self.n, self.l1 = np.zeros(SPACE + 1), np.zeros(SPACE + 1), np.full(SPACE + 1, float(l1))
+        self.l1[SPACE] = 0
 
     def weights(self, at) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        l1 = np.where(np.arange(SPACE + 1)[at] == SPACE, 0.0, self.l1)
+        z, n, l1 = self.z[at], self.n[at], self.l1[at]
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
@@ -96,9 +98,10 @@ def held_out(doc: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Model:
     """Learns from rows that are not held_out; labels has the id and the label."""
     known = labels.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
-    known = known.dropDuplicates(["id"])
-    first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
-    known = F.broadcast(first(1, rows[0]).union(first(0, rows[1])))  # bounded by `rows`
+    known = known.groupBy("id").agg(F.max("y").alias("y"))  # of several labels of an id, 1 counts
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().where("y in (0, 1)").collect()}
+    rate = lambda y, n: (F.col("y") == y) & below_rate(F.xxhash64("id"), min(1.0, n / max(counts.get(y, 0), 1)))
+    known = F.broadcast(known.where(rate(1, rows[0]) | rate(0, rows[1])))  # about `rows` ids, whatever the size
     texts = documents.join(known, F.col(doc) == F.col("id")).where(F.length(text) <= TRAIN_CHARS).select("id", "y", F.col(text).alias("t"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +110,9 @@ def train(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: st
             yield pd.DataFrame({"id": b.id, "y": b.y, "f": [np.unique(features(t, hashes)).astype("<i4").tobytes() for t in b.t]})
 
     data = texts.mapInPandas(found, "id long, y int, f binary").toPandas().sort_values(["id", "f"], ignore_index=True)
-    return fit([np.frombuffer(f, "<i4") for f in data.f], data.y.to_numpy())
+    sets, y = [np.frombuffer(f, "<i4") for f in data.f], data.y.to_numpy()
+    del data
+    return fit(sets, y)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
@@ -115,8 +120,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if not len(rows):
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), -35.0)
     learner, rng = Ftrl(), np.random.default_rng(SEED)
-    texts = np.bincount(np.concatenate(rows), minlength=SPACE)
-    rows = [np.append(f[texts[f] >= LEAST_TEXTS], SPACE) for f in rows]
+    texts = np.zeros(SPACE, np.int32)
+    for f in rows:
+        texts[f] += 1
+    rows = [np.append(f[texts[f] >= LEAST_TEXTS], np.int32(SPACE)) for f in rows]
     own = np.array([k for k in range(len(rows)) if k % CALIBRATE or len(rows) < 10 * CALIBRATE])
     for _ in range(EPOCHS):
         for k in rng.permutation(own):
