@@ -93,10 +93,10 @@ def length_batches(rows: DataFrame, length: str, index: str, size: int, parts: i
     Ranks come from counts of each length (a small table) and a window within one length, cut by ranges of the index.
     """
     counts = rows.groupBy(length).agg(F.count("*").alias("__n"))
-    base = counts.select(F.col(length).alias("__len"), F.coalesce(F.sum("__n").over(W.orderBy(length).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    base = counts.select(F.col(length).alias("__bylen"), F.coalesce(F.sum("__n").over(W.orderBy(length).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     within = F.row_number().over(W.partitionBy(length).orderBy(index)) - 1
-    rows = rows.withColumn("__within", within).join(base, F.col(length).eqNullSafe(F.col("__len")))
-    return rows.withColumn("batch_id", F.floor((F.col("__base") + F.col("__within")) / size).cast("long")).drop("__len", "__base", "__within")
+    rows = rows.withColumn("__within", within).join(base, F.col(length).eqNullSafe(F.col("__bylen")))
+    return rows.withColumn("batch_id", F.floor((F.col("__base") + F.col("__within")) / size).cast("long")).drop("__bylen", "__base", "__within")
 
 
 def grouped_batches(rows: DataFrame, length: str, index: str, size: int, seed: int | str) -> DataFrame:

@@ -29,34 +29,27 @@ SEGMENT = "channel string, seg_no long, start double, end double, n long"
 STATE = "seg_no long, start double, end double, n long"
 
 
-def merged_spans(spans: DataFrame, max_seconds: float = 30.0, max_gap: float = 0.8, idle: str = "10 minutes") -> DataFrame:
-    """Interval merging with state: spans (channel, start, end), in order within a channel, to merged segments; the open segment of
-    a channel goes out when the channel has been silent for `idle`."""
-    minutes = int(idle.split()[0]) * 60_000
+def merged_spans(spans: DataFrame, max_seconds: float = 30.0, max_gap: float = 0.8) -> DataFrame:
+    """Interval merging with state: spans (channel, start, end), in order within a channel, to merged segments. A segment goes out
+    once a span of its channel does not fit it; the last one of a channel stays in the state until then."""
 
     def step(key, batches, state):
         import pandas as pd
 
         out = []
-        if state.hasTimedOut:
-            no, s, e, n = state.get
-            out.append((key[0], no, s, e, n))
-            state.remove()
-        else:
-            now = list(state.get) if state.exists else None
-            rows = pd.concat(list(batches)).sort_values(["start", "end"])
-            for s, e in zip(rows["start"], rows["end"], strict=True):
-                if now and e - now[1] <= max_seconds and s - now[2] <= max_gap:
-                    now = [now[0], now[1], e, now[3] + 1]
-                else:
-                    if now:
-                        out.append((key[0], *now))
-                    now = [now[0] + 1 if now else 0, s, e, 1]
-            state.update(tuple(now))
-            state.setTimeoutDuration(minutes)
+        now = list(state.get) if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["start", "end"])
+        for s, e in zip(rows["start"], rows["end"], strict=True):
+            if now and e - now[1] <= max_seconds and s - now[2] <= max_gap:
+                now = [now[0], now[1], e, now[3] + 1]
+            else:
+                if now:
+                    out.append((key[0], *now))
+                now = [now[0] + 1 if now else 0, s, e, 1]
+        state.update(tuple(now))
         yield pd.DataFrame(out, columns=["channel", "seg_no", "start", "end", "n"])
 
-    return spans.groupBy("channel").applyInPandasWithState(step, SEGMENT, STATE, "append", "ProcessingTimeTimeout")
+    return spans.groupBy("channel").applyInPandasWithState(step, SEGMENT, STATE, "append", "NoTimeout")
 
 
 def write_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
