@@ -40,9 +40,9 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 85
 COORDS, MATCHES, SEED = 64, 40, 20260101
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 2048
 #: Columns of the incidence matrices at a time.
-WIDTH = 8192
+WIDTH = 4096
 VOCABULARY = 1 << 18  # words whose hashes a worker remembers at a time
 
 
