@@ -234,7 +234,7 @@ def session_gap(spark, sf):
     return segments.gap_sessions(_spans(spark, sf), "user_id", "start", "end", "event_id", 14_400.0)
 
 
-@query(f'WITH {CLIPS} SELECT idx, k * 60.0 AS start, least((k + 1) * 60.0, duration) AS "end" FROM (SELECT idx, duration, unnest(range(0, greatest(ceil(duration / 60)::BIGINT, 1))) AS k FROM clips)')
+@query(f'WITH {CLIPS} SELECT idx, (k * 60)::DOUBLE AS start, least(((k + 1) * 60)::DOUBLE, duration) AS "end" FROM (SELECT idx, duration, unnest(range(0, greatest(ceil(duration / 60)::BIGINT, 1))) AS k FROM clips)')
 def hard_chunks(spark, sf):
     c = _clips(spark, sf).select("idx", F.explode(segments.fixed_chunks(F.col("duration"))).alias("s"))
     return c.select("idx", "s.start", "s.end")
