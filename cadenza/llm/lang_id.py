@@ -8,7 +8,7 @@ Training takes, for each language, about `TRAIN_DOCS` labelled documents (those
 language's count) and `PIECES` windows of each; its loss is the cross-entropy at every position. It is a bounded sample;
 predictions cover all rows and whole texts.
 
-Defined cases: null text and text without a letter is `und` with score 0; rows with null text or lang are not trained on;
+Defined cases: null text and text without a letter is `und` with score 0; a null id is not held out; rows with null text or lang are not trained on;
 without training rows all is `und`; a language of a single document is learned as any other; repeated rows each get their
 prediction; `predict` keeps all columns of its input.
 """
@@ -151,12 +151,12 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED) ->
 
 
 def held_out(doc: Column) -> Column:
-    return F.crc32(doc.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> BiGru | None:
     """Learns from rows that are not held_out (a null id is not); about per_language documents of each language."""
-    rows = documents.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull() & ~F.coalesce(held_out(F.col(doc)), F.lit(False)))
+    rows = documents.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull() & ~held_out(F.col(doc)))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc, text).alias("h"))
     share = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language

@@ -92,7 +92,7 @@ class Model:
 
 
 def held_out(doc: Column) -> Column:
-    return F.crc32(doc.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Model:
