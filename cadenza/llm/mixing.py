@@ -4,11 +4,13 @@ A source's target in words is its weight's share of the total, at most `max_repe
 goes to the others by weight (water-filling over the sorted caps). target = c * size + rest with whole c: each document is
 taken c times for certain, and the rest is a sample of fixed size without replacement. Documents are ranked by the odds
 of a uniform number over the odds of their inclusion probability, which follow the document's size; the sample is the
-longest prefix of this order whose words fit in the rest, and then up to `FILLERS` documents more, each the largest that
-fits in what is left.
+longest prefix of this order whose words fit in the rest, then up to `FILLERS` documents more, each the largest that fits
+in what is left, and then, as long as any document fits, passes further down the order: each takes, of the documents after
+the last pass that fit in what is left, the longest prefix that does. So in the end no document of the source fits in what
+is left of its rest, even if one longer than the rest stands first in the order.
 
 The uniform number is a hash of seed, doc_id and text: reruns agree on any cluster. No source is gathered in one task:
-the cut of the order is found from sums over 1024 bins of the rank, then over 1024 bins within the bin of the cut, and
+the cut of a pass is found from sums over 1024 bins of the rank, then over 1024 bins within the bin of the cut, and
 only documents of that last bin are sorted.
 
 Words are ``[^\x20\x09-\x0D]+``. Defined cases: null text has size 0; a null source is a source, ordered last; equal rows
@@ -29,6 +31,7 @@ MAX_REPEAT = 3
 SEED = "mix"
 BINS = 1024
 FILLERS = 8
+PASSES = "array<struct<room: double, cut_fine: int, last: struct<rank: double, key: string>>>"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -68,50 +71,73 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("bin", F.floor(v * float(BINS)).cast("int")).withColumn("fine", F.floor(v * float(BINS * BINS)).cast("int"))
 
 
-def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(narrow rows of all documents: doc_id, source, size, key; per source: target, copies, rest and where its order is
-    cut: `cut_fine` and `last` (rank, key) of the prefix, `fills`, the keys of the fillers)."""
+def plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(narrow rows of all documents: doc_id, source, size, key; per source: target, copies, rest, `passes` down its order
+    (room: the size up to which it takes units; where it ends: `cut_fine` and `last` (rank, key)) and `fills`, the keys of
+    the fillers; `barred`: source and key of equal rows that fit in a pass one by one, but not together)."""
     rows = written(_keyed(documents, seed, doc, text, source).select(F.col(doc).alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-rows")
     goal = targets(rows, weights, max_repeat)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = written(goal.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-targets")
     units = _ranked(_with(rows, small(goal))).where("rank is not null")
-    units = units.groupBy("source", "key", "rank", "bin", "fine", "rest").agg(F.sum("size").alias("words"))
-    units = written(units, "mix-units")
+    units = written(units.groupBy("source", "key", "rank", "bin", "fine").agg(F.sum("size").alias("words"), F.max("size").alias("size")), "mix-units")
+
+    def open_(cut: DataFrame) -> DataFrame:
+        """The units that are not taken and fit in what is left; those that a pass left behind are too large for good."""
+        behind = F.exists("passes", lambda p: _within(p))
+        return _with(units, small(cut), "inner").where(~behind & (F.col("words") <= F.col("gap")) & ~F.array_contains("fills", F.col("key")))
 
     def crossing(binned: DataFrame, col: str) -> DataFrame:
-        sums = binned.groupBy("source", "rest", "base", col).agg(F.sum("words").alias("s"))
+        sums = binned.groupBy("source", "gap", "base", col).agg(F.sum("words").alias("s"))
         upto = F.sum("s").over(W.partitionBy("source").orderBy(col))
-        sums = sums.withColumn("upto", F.col("base") + upto).where(F.col("upto") > F.col("rest"))
+        sums = sums.withColumn("upto", F.col("base") + upto).where(F.col("upto") > F.col("gap"))
         return sums.groupBy("source").agg(F.min(F.struct(col, (F.col("upto") - F.col("s")).alias("base"))).alias("x")).select("source", F.col(f"x.{col}").alias(f"cut_{col}"), F.col("x.base").alias("base"))
 
-    coarse = written(crossing(units.withColumn("base", F.lit(0).cast("long")), "bin"), "mix-cut")
-    within = _with(units, small(coarse), "inner").where("bin = cut_bin")
-    fine = written(crossing(within, "fine"), "mix-cut")
-    edge = _with(units, small(fine), "inner").where("fine = cut_fine")
-    total = F.sum("words").over(W.partitionBy("source").orderBy("rank", "key").rangeBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", F.col("base") + total).where(F.col("upto") <= F.col("rest"))
-    edge = edge.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("last"), F.max("upto").alias("used"))
-    cut = _with(_with(fine, goal.select("source", "rest"), "left"), edge, "left")
-    cut = cut.select("source", "cut_fine", "last", (F.col("rest") - F.coalesce("used", "base")).alias("gap"), F.array().cast("array<string>").alias("fills"))
-    cut = written(cut, "mix-cut")
+    def down(here: DataFrame, cut: DataFrame, room) -> DataFrame:
+        """cut after one more pass over the units `here`, of each source that has any."""
+        here = here.withColumn("base", F.lit(0).cast("long"))
+        whole = written(here.groupBy("source").agg(F.sum("words").alias("whole")), "mix-pass")
+        coarse = written(crossing(here, "bin"), "mix-cut")
+        within = _with(here.drop("base"), small(coarse), "inner").where("bin = cut_bin")
+        fine = written(crossing(within, "fine"), "mix-cut")
+        edge = _with(here.drop("base"), small(fine), "inner").where("fine = cut_fine")
+        total = F.sum("words").over(W.partitionBy("source").orderBy("rank", "key").rangeBetween(W.unboundedPreceding, 0))
+        edge = edge.withColumn("upto", F.col("base") + total).where(F.col("upto") <= F.col("gap"))
+        edge = edge.groupBy("source").agg(F.max(F.struct("rank", "key")).alias("last"), F.max("upto").alias("used"))
+        cut = _with(_with(_with(cut, whole, "left"), fine, "left"), edge, "left")
+        one = F.array(F.struct(room.alias("room"), "cut_fine", "last"))
+        return written(cut.select(
+            "source", (F.col("gap") - F.coalesce("used", "base", "whole", F.lit(0))).alias("gap"),
+            F.when(F.col("whole").isNull(), F.col("passes")).otherwise(F.concat("passes", one)).alias("passes"), "fills"), "mix-cut")
+
+    cut = goal.select("source", F.col("rest").alias("gap"), F.array().cast(PASSES).alias("passes"), F.array().cast("array<string>").alias("fills"))
+    cut = down(_with(units, small(cut), "inner"), cut, F.lit(float("inf")))
     # Fillers: again and again, of the documents after the cut, the largest that fits in what is left of the source's rest.
     for _ in range(FILLERS):
-        after = _with(units, small(cut), "inner").where(~_in_prefix() & (F.col("words") <= F.col("gap")) & ~F.array_contains("fills", F.col("key")))
-        after = after.groupBy("source").agg(F.max(F.struct(F.col("words"), (-F.col("rank")).alias("r"), F.col("key"))).alias("f"))
+        after = open_(cut).groupBy("source").agg(F.max(F.struct(F.col("words"), (-F.col("rank")).alias("r"), F.col("key"))).alias("f"))
         after = written(after, "mix-fill")
         if after.isEmpty():
             break
         cut = _with(cut, after, "left").select(
-            "source", "cut_fine", "last", (F.col("gap") - F.coalesce("f.words", F.lit(0))).alias("gap"),
+            "source", (F.col("gap") - F.coalesce("f.words", F.lit(0))).alias("gap"), "passes",
             F.concat("fills", F.when(F.col("f.key").isNull(), F.array().cast("array<string>")).otherwise(F.array("f.key"))).alias("fills"))
         cut = written(cut, "mix-cut")
-    return rows, written(_with(goal, cut, "left"), "mix-plan")
+    else:
+        while not open_(cut).isEmpty():
+            cut = down(open_(cut), cut, F.col("gap"))
+    room = _room()
+    barred = _with(units, small(cut), "inner").where((F.col("size") <= room) & (F.col("words") > room)).select("source", "key")
+    return rows, written(_with(goal, cut.drop("gap"), "left"), "mix-plan"), written(barred, "mix-barred")
+
+
+def _within(p):
+    """Whether a row of columns fine, rank, key is not after the end of a pass; one that reached the end of the order has no cut."""
+    return p["cut_fine"].isNull() | (F.col("fine") < p["cut_fine"]) | ((F.col("fine") == p["cut_fine"]) & F.coalesce(F.struct("rank", "key") <= p["last"], F.lit(False)))
 
 
-def _in_prefix():
-    """Of columns fine, rank, key and of a source's cut; a source whose whole order fits has no cut."""
-    return F.col("cut_fine").isNull() | (F.col("fine") < F.col("cut_fine")) | ((F.col("fine") == F.col("cut_fine")) & F.coalesce(F.struct("rank", "key") <= F.col("last"), F.lit(False)))
+def _room():
+    """The words that were left in the pass that went by a row; null where none did."""
+    return F.get(F.filter("passes", lambda p: _within(p)), F.lit(0))["room"]
 
 
 def _with(rows: DataFrame, by_source: DataFrame, how: str = "left") -> DataFrame:
@@ -121,24 +147,32 @@ def _with(rows: DataFrame, by_source: DataFrame, how: str = "left") -> DataFrame
     return rows.drop(*both).join(again, rows["source"].eqNullSafe(F.col("__s")), how).drop("__s")
 
 
-def _copies():
-    drawn = F.col("rank").isNotNull() & (_in_prefix() | F.coalesce(F.array_contains("fills", F.col("key")), F.lit(False)))
-    return F.coalesce(F.col("copies"), F.lit(0)) + drawn.cast("long")
+def _copies(df: DataFrame, barred: DataFrame) -> DataFrame:
+    """df with `n`, how often a row is taken; df is ranked and has source, key and the columns of its source's plan."""
+    if barred.isEmpty():
+        fits = F.col("size") <= _room()
+    else:
+        barred = small(barred.withColumnRenamed("source", "__s").withColumnRenamed("key", "__k").withColumn("__barred", F.lit(True)))
+        df = df.join(barred, F.col("source").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__k")), "left")
+        fits = (F.col("size") <= _room()) & F.col("__barred").isNull()
+    drawn = F.col("rank").isNotNull() & (F.coalesce(fits, F.lit(False)) | F.coalesce(F.array_contains("fills", F.col("key")), F.lit(False)))
+    return df.withColumn("n", F.coalesce(F.col("copies"), F.lit(0)) + drawn.cast("long"))
 
 
 def takes(documents: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, source, size, source_size, target, copies, taken (words)."""
-    rows, by = plan(documents, **options)
-    out = _ranked(_with(rows, small(by))).withColumn("n", _copies())
+    rows, by, barred = plan(documents, **options)
+    out = _copies(_ranked(_with(rows, small(by))), barred)
     return out.select("doc_id", "source", "size", "source_size", "target", F.col("n").alias("copies"), (F.col("size") * F.col("n")).alias("taken"))
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """documents as the mix takes them: each row as often as it is taken, with `copy` (from 1; in place of such a column) added. Texts are not shuffled."""
-    _, by = plan(documents, weights, max_repeat, seed, doc, text, source)
+    """documents as the mix takes them: each row as often as it is taken, with `copy` (from 1; in place of such a column) added. Texts are shuffled only where
+    more rows than a broadcast takes are barred."""
+    _, by, barred = plan(documents, weights, max_repeat, seed, doc, text, source)
     by = small(by.select([F.col(c).alias(f"__by_{c}") for c in by.columns]))
     joined = _keyed(documents, seed, doc, text, source).join(by, F.col("__source").eqNullSafe(F.col("__by_source")), "left")
-    own = [F.struct("*").alias("row"), F.col("__size").alias("size"), F.col("__key").alias("key")]
-    out = _ranked(joined.select(*own, *[F.col(f"__by_{c}").alias(c) for c in ("source_size", "n_docs", "copies", "rest", "cut_fine", "last", "fills")]))
-    out = out.select("row", _copies().alias("n")).where("n > 0")
+    own = [F.struct("*").alias("row"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")]
+    out = _ranked(joined.select(*own, *[F.col(f"__by_{c}").alias(c) for c in ("source_size", "n_docs", "copies", "rest", "passes", "fills")]))
+    out = _copies(out, barred).select("row", "n").where("n > 0")
     return out.select(*[F.col("row")[c].alias(c) for c in documents.columns if c != "copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))

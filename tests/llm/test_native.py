@@ -162,3 +162,59 @@ def test_mix_cases(spark):
         assert r["rank"] == f"r{r['doc_id']}"
         copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
     assert copies == {k: n for k, n in taken.items() if n}
+
+
+def brute_takes(rows, target, seed="mix"):
+    """doc_id to copies of rows (doc_id, text, source), given each source's target."""
+    sizes, units = {}, {}
+    for k, t, s in rows:
+        key = hashlib.md5(f"{seed}|{k}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+        u = units.setdefault((s, key), [k, 0, len(t.split()), key])
+        u[1] += u[2]
+        sizes[s] = sizes.get(s, 0) + u[2]
+    out = {}
+    for s, size in sizes.items():
+        copies = int(target[s] // size)
+        gap = target[s] - copies * size
+        uniform = lambda x: (int(x[3][:13], 16) + 0.5) / 2**52
+        order = sorted((u for (q, _), u in units.items() if q == s), key=lambda x: (uniform(x) / (1 - uniform(x)) / x[2], x[3]))
+        took, left = set(), list(order)
+        while left and left[0][1] <= gap:
+            gap -= left[0][1]
+            took.add(left.pop(0)[3])
+        for _ in range(8):
+            fits = [(u[1], -i, u) for i, u in enumerate(left) if u[1] <= gap]
+            if fits:
+                u = max(fits)[2]
+                gap, took = gap - u[1], took | {u[3]}
+                left.remove(u)
+        for u in left:
+            if u[1] <= gap:
+                gap, took = gap - u[1], took | {u[3]}
+        out |= {u[0]: copies + (u[3] in took) for u in order}
+    return out
+
+
+def test_mix_goes_on_after_units_that_do_not_fit(spark):
+    rng = random.Random(11)
+    text = lambda k, n: f"d{k} " + "w " * (n - 1)
+    # a: one document longer than the rest; b: documents of about half the rest among small ones; c: equal rows that fit one by one only.
+    rows = [(k, text(k, rng.randrange(5, 60)), rng.choice("abc")) for k in range(1500)]
+    rows += [(2000, text(2000, 80_000), "a"), *[(3000 + k, text(3000 + k, 3000 + 211 * k), "b") for k in range(6)], *[(4000, text(4000, 900), "c")] * 20]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.takes(d).collect()
+    want = brute_takes(rows, {r["source"]: r["target"] for r in got})
+    assert {r["doc_id"]: r["copies"] for r in got} == want
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        gap = mine[0]["target"] - sum(r["taken"] for r in mine)
+        once = min(r["copies"] for r in mine)
+        units = {}
+        for r in mine:
+            units[r["doc_id"]] = units.get(r["doc_id"], 0) + r["size"]
+        left = [units[r["doc_id"]] for r in mine if r["copies"] == once]
+        assert 0 <= gap < min(left) and sum(n <= mine[0]["target"] - once * sum(r["size"] for r in mine) for n in left) > 8, (s, gap)
+    copies = {}
+    for r in mixing.mix(d).select("doc_id", "copy").collect():
+        copies[r[0]] = copies.get(r[0], 0) + 1
+    assert copies == {k: n * (20 if k == 4000 else 1) for k, n in want.items() if n}
