@@ -1,11 +1,16 @@
 r"""Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Patterns, leftmost and non-overlapping per kind: `assign`, `access` and `hex` (see PATTERNS). Besides, every run of 16 or
-more characters of ``[A-Za-z0-9+/_=-]`` that no pattern span overlaps is scored by two first-order Markov models over
-characters: one of random strings, one of ordinary identifiers. A run whose log-likelihood ratio is above the threshold is
-a `random` span. Both models are trained from labelled samples: random strings from a seeded generator, identifiers made of
-words of about `TRAIN_DOCS` documents (those whose hash is below a rate; `TRAIN_WORDS` words from each at most). The
-threshold is set on a part of the samples that the models have not seen.
+Patterns, leftmost and non-overlapping per kind: `assign`, `access` and `hex` (see PATTERNS). Besides, every run of
+``[A-Za-z0-9+/_=-]``, less the pattern spans in it, leaves parts of 16 or more characters, which are scored by two
+first-order Markov models over characters: one of random strings, one of ordinary identifiers. A part whose mean
+log-likelihood ratio is above the threshold is a `random` span. In any other part, pieces of 16 or more characters between
+``+/_=-`` whose mean is above it are, and stretches whose summed ratios pass a second threshold, so that a path or a name
+beside a secret does not hide it. A stretch is widened to whole pieces
+(an outer piece of which it holds less than half is left out) and has 16 or more characters; short
+numbers and repeated separators, as in dates and rules, do not count for it. Both models are trained from labelled samples:
+random strings from a seeded generator, identifiers made of words of about `TRAIN_DOCS` documents (those whose hash is below
+a rate; `TRAIN_WORDS` words from each at most). The thresholds are set on a part of the samples that the models have not
+seen, that of the stretches on identifiers joined to paths.
 
 Offsets are code points, the end exclusive. Defined cases: null and empty text has no spans; repeated rows each get their
 spans; without any documents the identifiers are a few built-in words; `redact` keeps all other columns.
@@ -46,13 +51,13 @@ def _in(chars: bytes) -> np.ndarray:
 
 
 _HEX, _RUN = _in(b"0123456789abcdef"), _in(ALPHABET.encode())
+_PIECE, _FLAT = re.compile(rb"[A-Za-z0-9]+"), re.compile(rb"(?<![A-Za-z0-9])[0-9]{1,8}(?![A-Za-z0-9])|([+/_=-])\1+")
 _CODE = np.full(256, 0, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(1, len(ALPHABET) + 1)
 
 
-def runs(raw: np.ndarray, table: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Byte spans of the maximal runs of a character class with `least` characters or more."""
-    inside = table[raw]
+def runs(inside: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Byte spans of the maximal runs of ones with `least` characters or more; `inside` has 1 for each character of a class."""
     edge = np.flatnonzero(np.diff(inside, prepend=0, append=0))
     start, end = edge[::2], edge[1::2]
     keep = end - start >= least
@@ -70,6 +75,11 @@ class Model:
         # Above all ordinary samples but one in a thousand at most, with half the gap to the bulk of the random ones as margin.
         top, bulk = float(np.quantile(low, 0.999)), float(np.quantile(high, 0.05))
         self.threshold = max(top + max(bulk - top, 0) / 2, top)
+        # The same for stretches, on paths of one to six identifiers.
+        paths = ["/=_-"[k % 4].join(o_held[k : k + 1 + k % 6]) for k in range(len(o_held))]
+        high, low = np.array([self._sums(x.encode())[1] for x in r_held]), np.array([self._sums(x.encode())[1] for x in paths])
+        top, bulk = float(np.quantile(low, 0.999)), float(np.quantile(high, 0.05))
+        self.least_sum = max(top + max(bulk - top, 0) / 2, top)
 
     @staticmethod
     def _fit(samples: list[str]) -> np.ndarray:
@@ -85,6 +95,54 @@ class Model:
         c = _CODE[np.frombuffer(b" " + run + b" ", np.uint8)]
         return float(self.table[c[:-1], c[1:]].mean())
 
+    def _sums(self, run: bytes) -> tuple[np.ndarray, float]:
+        """The ratio of each transition inside a run, and the largest sum of a stretch."""
+        c = _CODE[np.frombuffer(run, np.uint8)]
+        x = self.table[c[:-1], c[1:]].astype(np.float64)
+        for m in _FLAT.finditer(run):
+            at = slice(max(m.start() - 1, 0), m.end())
+            x[at] = np.minimum(x[at], 0)
+        p = np.concatenate([[0.0], np.cumsum(x)])
+        return x, float((p - np.minimum.accumulate(p)).max())
+
+    def stretches(self, run: bytes) -> list[tuple[int, int]]:
+        """The parts of a run that look random, in order and apart: pieces by their mean, and stretches by their sum; one ends where the sum falls by the threshold from its peak."""
+        pieces = [m.span() for m in _PIECE.finditer(run)]
+        spans = [(s, e) for s, e in pieces if e - s >= LEAST["random"] and self.ratio(run[s:e]) > self.threshold]
+        x, most = self._sums(run)
+        first = 0
+        for s, e in self._peaks(x) if most > self.least_sum else []:
+            while first < len(pieces) and pieces[first][1] <= s:
+                first += 1
+            last = first
+            while last < len(pieces) and pieces[last][0] < e:
+                last += 1
+            inside = pieces[first:last]
+            most_of = [p for p in inside if 2 * (min(e, p[1]) - max(s, p[0])) >= p[1] - p[0]]
+            wide = (inside[0][0], inside[-1][1]) if inside else (s, e)
+            s, e = (most_of[0][0], most_of[-1][1]) if most_of else wide
+            spans.append((s, e) if e - s >= LEAST["random"] else wide)
+        out: list[tuple[int, int]] = []
+        for s, e in sorted(spans):
+            while e < len(run) and run[e : e + 1] == b"=":  # padding
+                e += 1
+            if out and s <= out[-1][1]:
+                s, e = out[-1][0], max(e, out.pop()[1])
+            if e - s >= LEAST["random"]:
+                out.append((s, e))
+        return out
+
+    def _peaks(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
+        start, total, peak, end = 0, 0.0, 0.0, 0
+        for k, v in enumerate([*x.tolist(), -np.inf]):
+            total += v
+            if total > peak:
+                peak, end = total, k + 2
+            elif total <= 0 or total < peak - self.least_sum:
+                if peak > self.least_sum:
+                    yield start, end
+                start, total, peak, end = k + 1, 0.0, 0.0, 0
+
 
 def random_strings(n: int = SAMPLES, seed: int = SEED) -> list[str]:
     """Labelled samples of random strings: several alphabets, 16 to 64 characters."""
@@ -123,20 +181,23 @@ def find(text: str | None, model: Model | None) -> list[tuple[int, int, int]]:
     raw = text.encode("utf-8", "surrogatepass")
     ascii_ = len(raw) == len(text)
     at = (lambda k: k) if ascii_ else (lambda k: len(raw[:k].decode("utf-8", "surrogatepass")))
+    to = (lambda k: k) if ascii_ else (lambda k: len(text[:k].encode("utf-8", "surrogatepass")))
     low, out = raw.lower(), []
     if any(k in low for k in KEYWORDS):
         out += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if b"AKIA" in raw:
         out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     chars = np.frombuffer(raw, np.uint8)
-    out += [(at(s), at(e), 2) for s, e in runs(chars, _HEX, LEAST["hex"])]
+    hexes = list(runs(_HEX[chars], LEAST["hex"]))
     if model is not None:
-        base = list(out)
-        for s, e in runs(chars, _RUN, LEAST["random"]):
-            if model.ratio(raw[s:e]) > model.threshold:
-                s, e = at(s), at(e)
-                if not any(x < e and s < y for x, y, _ in base):
-                    out.append((s, e, 3))
+        inside = _RUN[chars]
+        for s, e in [(to(s), to(e)) for s, e, _ in out] + hexes:
+            inside[s:e] = 0
+        for s, e in runs(inside, LEAST["random"]):
+            part = raw[s:e]
+            here = [(0, e - s)] if model.ratio(part) > model.threshold else model.stretches(part)
+            out += [(at(s + x), at(s + y), 3) for x, y in here]
+    out += [(at(s), at(e), 2) for s, e in hexes]
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
