@@ -117,10 +117,55 @@ SELECT *, size * copies AS taken FROM z
 )
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return judged.select("row.doc_id", "stats.n_words", *[f"stats.{c}" for c in quality_rules.STATS[1:]], "base_failed", "kept")
 
 
+#: Statistics in words and lines; quantiles of the merged histograms; fences, averaged with the wider group's.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT k, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM h) GROUP BY k),
+s AS (
+  SELECT k, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(text, '!'))::BIGINT AS n_bangs
+  FROM d LEFT JOIN r USING (k)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+x AS (
+  SELECT lang, source, unnest(['symbols', 'bangs', 'capitals', 'dup_lines', 'word_length']) AS rate,
+         unnest([n_symbols * 1000 // n_words, n_bangs * 1000 // n_words, n_capitals * 1000 // word_chars, n_dup_lines * 1000 // n_lines, word_chars * 100 // n_words]) AS v FROM b WHERE NOT base_failed),
+y AS (SELECT lang, source, rate, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)::INTEGER) END AS b FROM x),
+z AS (
+  SELECT 0 AS level, lang, source, rate, b, count(*) AS n FROM y GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, rate, b, count(*) FROM y GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, rate, b, count(*) FROM y GROUP BY ALL),
+u AS (
+  SELECT *, CASE WHEN b < 64 THEN b ELSE ((b - (b // 32 - 1) * 32 + 1) << (b // 32 - 1)::INTEGER) - 1 END AS top,
+         100 * sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM z),
+q AS (
+  SELECT level, lang, source, rate, max(total)::BIGINT AS total, min(top) FILTER (upto >= total * 20) AS low, min(top) FILTER (upto >= total * 50) AS mid, min(top) FILTER (upto >= total * 80) AS high
+  FROM u GROUP BY level, lang, source, rate),
+f AS (SELECT level, lang, source, rate, total, high + 8 * (high - mid) AS hi, greatest(low - 8 * (mid - low), 0) AS lo FROM q),
+m AS (
+  SELECT f.lang, f.source, f.rate,
+         (f.total * f.hi + 100 * ((f1.total * f1.hi + 100 * f2.hi) // (f1.total + 100))) // (f.total + 100) AS hi,
+         (f.total * f.lo + 100 * ((f1.total * f1.lo + 100 * f2.lo) // (f1.total + 100))) // (f.total + 100) AS lo
+  FROM f JOIN f f1 ON f1.level = 1 AND f1.rate = f.rate AND f1.lang IS NOT DISTINCT FROM f.lang JOIN f f2 ON f2.level = 2 AND f2.rate = f.rate WHERE f.level = 0),
+p AS (
+  SELECT lang, source, max(hi) FILTER (rate = 'symbols') AS symbols, max(hi) FILTER (rate = 'bangs') AS bangs, max(hi) FILTER (rate = 'capitals') AS capitals,
+         max(hi) FILTER (rate = 'dup_lines') AS dup_lines, max(hi) FILTER (rate = 'word_length') AS long, max(lo) FILTER (rate = 'word_length') AS short FROM m GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_bangs, base_failed,
+       NOT base_failed AND NOT coalesce(
+         (n_symbols - 2) * 1000 > symbols * n_words OR (n_bangs - 2) * 1000 > bangs * n_words OR (n_capitals - 2) * 1000 > capitals * word_chars
+         OR (n_dup_lines - 2) * 1000 > dup_lines * n_lines OR word_chars * 100 // n_words > long OR word_chars * 100 // n_words < short, false) AS kept
+FROM b LEFT JOIN p ON p.lang IS NOT DISTINCT FROM b.lang AND p.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def op3_warc_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc_zip.write_packages(table(spark, sf_dir, "pages"), warc_zip.new_folder(spark))
     return warc_zip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -165,4 +210,4 @@ QUERIES = {
         op6_decontaminate, op7_minhash_near_duplicates, op8_secret_scan, op9_ftrl_toxicity, op10_mix_to_weights,
     )
 }
-ORACLE = {"op1_chat_prefix_targets": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mix_to_weights": OP10_SQL}
+ORACLE = {"op1_chat_prefix_targets": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_decontaminate": OP6_SQL, "op10_mix_to_weights": OP10_SQL}

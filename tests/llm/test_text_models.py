@@ -62,6 +62,65 @@ def test_quality_base_against_brute_force(spark, sf):
         assert not (r["kept"] and r["base_failed"])
 
 
+def top_of_bucket(x):
+    """The largest number that shares x's bucket: 32 buckets to each power of two, from 64 on."""
+    e = max(x.bit_length() - 6, 0)
+    return ((x >> e) + 1 << e) - 1
+
+
+def brute_kept(rows):
+    """rows (lang, source, text) to verdicts, from sorted lists instead of sketches."""
+    known = [(la, so, brute_stats(t)) for la, so, t in rows]
+    fails = [s[0] < 10 or 100 * s[5] > 20 * s[0] for *_, s in known]
+    counted = {"symbols": (2, 0, 1000), "bangs": (7, 0, 1000), "capitals": (6, 1, 1000), "dup_lines": (4, 3, 1000), "word_length": (1, 0, 100)}
+    kept = [not f for f in fails]
+    for name, (num, den, parts) in counted.items():
+        groups = {}
+        for (la, so, s), f in zip(known, fails):
+            if not f:
+                for key in ((0, la, so), (1, la), (2,)):
+                    groups.setdefault(key, []).append(s[num] * parts // s[den])
+        fence = {}
+        for key in sorted(groups, key=lambda k: -k[0]):
+            v = [top_of_bucket(x) for x in sorted(groups[key])]
+            low, mid, high = (v[-(-p * len(v) // 100) - 1] for p in (20, 50, 80))
+            hi, lo = high + 8 * (high - mid), max(low - 8 * (mid - low), 0)
+            wide = fence[(key[0] + 1, *key[1:-1])] if key[0] < 2 else None
+            fence[key] = tuple((len(v) * x + 100 * y) // (len(v) + 100) for x, y in zip((hi, lo), wide)) if wide else (hi, lo)
+        for k, (la, so, s) in enumerate(known):
+            if not fails[k]:
+                hi, lo = fence[0, la, so]
+                kept[k] &= lo <= s[num] * parts // s[den] <= hi if name == "word_length" else (s[num] - 2) * parts <= hi * s[den]
+    return kept
+
+
+def test_quality_verdicts_against_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "source", "text")
+    rng = random.Random(3)
+    made = [(rng.choice(["x", None]), rng.choice(["s", "t"]), " ".join(rng.choice(["word", "a", "Name", "!", "# &"]) + str(rng.randrange(900)) for _ in range(40))) for _ in range(60)]
+    d = d.union(spark.createDataFrame(made, d.schema))
+    rows = [(r["row"]["lang"], r["row"]["source"], r["row"]["text"], r["kept"]) for r in quality_rules.judge(d).collect()]
+    want = brute_kept([r[:3] for r in rows])
+    assert [r[3] for r in rows] == want and 0 < sum(want) < len(want)
+
+
+def test_fences_follow_their_group(spark):
+    rng = random.Random(5)
+    shift = {"plain": 0, "code": 60}
+
+    def row(source):
+        n, more = 200 + rng.randrange(100), shift[source]
+        return ("en", source, n, n * 5 + n * more // 20 + rng.randrange(n // 5), n * (more + rng.randrange(10)) // 1000, 20, 0, 0, n // 20, 0)
+
+    rows = [row(s) for s in shift for _ in range(3000)]
+    got = {r["source"]: r for r in quality_rules.fences(quality_rules.sketch(spark.createDataFrame(rows, ["lang", "source", *quality_rules.STATS]))).collect()}
+    assert got["code"]["symbols_hi"] - got["plain"]["symbols_hi"] > 40
+    assert got["code"]["word_length_hi"] - got["plain"]["word_length_hi"] > 100 and got["code"]["word_length_lo"] - got["plain"]["word_length_lo"] > 100
+    alone = [("en", "few", *r[2:]) for r in rows[3000:3010]] + rows[:3000]
+    few = {r["source"]: r for r in quality_rules.fences(quality_rules.sketch(spark.createDataFrame(alone, ["lang", "source", *quality_rules.STATS]))).collect()}
+    assert few["few"]["symbols_hi"] < got["code"]["symbols_hi"] - 30  # ten texts lean on their language
+
+
 def test_quality_cases(spark):
     kind = "doc_id long, text string, lang string, source string, n_words string, kept string"
     rows = [(None, None, None, None, "1", "2"), (1, "a b c d e f g h i j k", None, "s", "1", "2"), (1, "a b c d e f g h i j k", None, "s", "1", "2"), (2, "", "en", None, None, None)]
