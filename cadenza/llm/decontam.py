@@ -26,21 +26,14 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD, RAW_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands in the set for no window, so that each document passes the join once.
 NONE = 0
+#: Windows that share a chunk of words.
+CHUNK = 32
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAPS), "")
 
 
-def _windows(arr: Column, n: int) -> Column:
-    """Starts (from 0) of the windows of n words, as an array."""
-    return F.when(F.size(arr) >= n, F.sequence(F.lit(0), F.size(arr) - n)).otherwise(F.array().cast("array<int>"))
-
-
-def _hashes(hashed: Column, n: int) -> Column:
-    return F.transform(_windows(hashed, n), lambda i: F.xxhash64(F.slice(hashed, i + 1, n)))
-
-
 def benchmark_windows(benchmark: DataFrame, n: int = NGRAM, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct windows: hash, len, window (words joined by a space), items (array of ids)."""
     items = benchmark.select(F.col(item).alias("item_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
@@ -50,6 +43,32 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM, item: str = "item_id
         F.first(F.size("g")).alias("len"), F.first(F.xxhash64(F.transform("g", lambda w: F.xxhash64(w)))).alias("hash"), F.collect_set("item_id").alias("items"))
 
 
+def _document_windows(documents: DataFrame, sizes: list[int], doc: str, text: str) -> DataFrame:
+    """Windows of all sizes of all documents: doc_id, fingerprint, n_words, size, hash, and where: `pos` in the words `cw` of
+    a chunk that begins at word `base`. Besides, one row of size 0 and hash NONE for each document.
+
+    A row of a window carries the words of its chunk of CHUNK windows, never those of the document, so that work and memory
+    grow in proportion to the length of a text."""
+    docs = documents.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("fingerprint"), words(F.col(text)).alias("w"))
+    docs = docs.select("doc_id", "fingerprint", F.size("w").alias("n_words"), "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hw"))
+    wide = CHUNK + max(sizes) - 1
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    chunk = lambda b: F.struct(b.alias("base"), F.slice("w", b + 1, F.lit(wide)).alias("cw"), F.slice("hw", b + 1, F.lit(wide)).alias("ch"))
+    itself = F.struct(F.lit(-1).alias("base"), F.array().cast("array<string>").alias("cw"), F.array().cast("array<bigint>").alias("ch"))
+    rows = docs.select("doc_id", "fingerprint", "n_words", F.explode(F.concat(F.array(itself), F.transform(starts, chunk))).alias("c"))
+    rows = rows.select("doc_id", "fingerprint", "n_words", "c.base", "c.cw", "c.ch")
+
+    def of(size: int) -> Column:
+        last = F.least(F.size("ch") - size, F.lit(CHUNK - 1))  # what starts later is in the next chunk
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice("ch", i + 1, size)).alias("hash")))
+
+    none = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(NONE).cast("long").alias("hash")))
+    each = F.when(F.col("base") < 0, none).otherwise(F.concat(*[of(k) for k in sizes]))
+    rows = rows.select("doc_id", "fingerprint", "n_words", "base", "cw", F.explode(each).alias("x"))
+    return rows.select("doc_id", "fingerprint", "n_words", "base", "cw", "x.size", "x.pos", "x.hash")
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: doc_id, fingerprint (of the text), n_words, hits (array of struct<start,end>, word
     positions from 0, end exclusive, ascending), items (array of ids, sorted as strings), n_hit."""
@@ -60,19 +79,10 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, doc: str =
     grams = grams.unionByName(none)
     grams = F.broadcast(grams) if total <= BROADCAST_WINDOWS else grams
 
-    docs = documents.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("fingerprint"), words(F.col(text)).alias("w"))
-    docs = docs.select("doc_id", "fingerprint", F.size("w").alias("n_words"), "w", F.transform("w", lambda x: F.xxhash64(x)).alias("hw"))
-    first = F.array(F.lit(NONE).cast("long"))
-    rows = None
-    for k, size in enumerate(lengths or [n]):
-        hashes = _hashes(F.col("hw"), size)
-        each = docs.select("doc_id", "fingerprint", "n_words", "w", F.posexplode(F.concat(first, hashes) if k == 0 else hashes).alias("pos", "hash"), F.lit(size).alias("size"))
-        each = each.withColumn("start", F.col("pos") - (1 if k == 0 else 0))
-        rows = each if rows is None else rows.unionByName(each)
-    hit = rows.join(grams, "hash").where(
-        ((F.col("len") == 0) & (F.col("start") < 0))
-        | ((F.col("len") == F.col("size")) & (F.col("start") >= 0) & (F.array_join(F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("size")), " ") == F.col("window")))
-    )
+    rows = _document_windows(documents, lengths or [n], doc, text)
+    same = (F.col("len") == F.col("size")) & (F.array_join(F.slice("cw", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("size")), " ") == F.col("window"))
+    hit = rows.join(grams, "hash").where(((F.col("len") == 0) & (F.col("size") == 0)) | ((F.col("size") > 0) & same))
+    hit = hit.withColumn("start", F.when(F.col("size") > 0, F.col("base") + F.col("pos")).otherwise(-1))
     hit = hit.select("doc_id", "fingerprint", "n_words", "start", "len", "items")
     by = hit.groupBy("doc_id", "fingerprint", "n_words").agg(
         F.count_if(F.col("start") < 0).alias("copies"),
@@ -106,10 +116,25 @@ def remove(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, mode: str
     return cut.select(*documents.columns)
 
 
+def merged(hits: Column) -> Column:
+    """Spans in order of start, with those that overlap or touch made one."""
+    kind = "array<struct<start:int,end:int>>"
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    none = F.struct(F.array().cast(kind).alias("done"), span(F.lit(-1), F.lit(-1)).alias("open"))
+    whole = lambda a: F.when(a["open"]["end"] >= 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
+
+    def step(a: Column, h: Column) -> Column:
+        longer = F.struct(a["done"].alias("done"), span(a["open"]["start"], F.greatest(a["open"]["end"], h["end"])).alias("open"))
+        return F.when(h["start"] <= a["open"]["end"], longer).otherwise(F.struct(whole(a).alias("done"), span(h["start"], h["end"]).alias("open")))
+
+    return F.aggregate(hits, none, step, whole)
+
+
 def cut_spans(text: Column, hits: Column) -> Column:
     """text without the words in hits and without the gaps between two such neighbours."""
     own = F.array_remove(F.split(text, RAW_GAP), "")
     gaps = F.split(text, RAW_WORD, -1)
-    inside = lambda i: F.exists(hits, lambda h: (h["start"] <= i) & (i < h["end"]))
+    spans = merged(hits)
+    inside = lambda i: F.exists(spans, lambda h: (h["start"] <= i) & (i < h["end"]))
     parts = F.transform(own, lambda w, i: F.concat(F.when(inside(i) & inside(i - 1), "").otherwise(F.get(gaps, i)), F.when(inside(i), "").otherwise(w)))
     return F.concat(F.array_join(parts, ""), F.coalesce(F.get(gaps, F.size(own)), F.lit("")))
