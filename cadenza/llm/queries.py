@@ -71,14 +71,14 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
 
-OP10_SQL = (
-    r"""
-WITH d AS (
+#: Targets by water-filling; probabilities from the sums over sizes; then each source's order is gone down, one unit a step: a unit that would have fitted at the last stop ends a pass.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS id, doc_id, source,
          len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
          md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))) AS key FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
+  SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM d GROUP BY source),
 c AS (
   SELECT *, source_size * 3 AS cap, row_number() OVER r AS k,
@@ -88,33 +88,37 @@ c AS (
          b AS (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 o AS (SELECT min(k) AS k, arg_min(rem, k) AS rem, arg_min(rem_weight, k) AS rem_weight FROM c WHERE weight::DOUBLE * rem < cap::DOUBLE * rem_weight),
 t AS (
-  SELECT source, source_size, n_docs,
+  SELECT source, source_size,
          CASE WHEN o.k IS NULL OR c.k < o.k THEN cap::DOUBLE ELSE (weight * o.rem)::DOUBLE / o.rem_weight::DOUBLE END AS target FROM c, o),
 g AS (
   SELECT *, target - copies * source_size AS rest
   FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t)),
+n AS (
+  SELECT d.source, rest, size, count(*) AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE size > 0 AND size <= rest GROUP BY ALL),
+h AS (
+  SELECT *, (sum(size * n) OVER (PARTITION BY source) - sum(size * n) OVER (PARTITION BY source ORDER BY size))::DOUBLE AS longer,
+         (sum(size * size * n) OVER (PARTITION BY source ORDER BY size))::DOUBLE AS upto FROM n),
+p AS (SELECT source, (rest - arg_max(longer, size)) / arg_max(upto, size) AS per_word FROM h WHERE longer + upto / size > rest GROUP BY source, rest),
 q AS (
   SELECT d.*, g.source_size, target, copies, rest,
-         CASE WHEN rest > 0 AND size > 0 THEN
+         CASE WHEN size > 0 AND size <= rest THEN CASE WHEN per_word * size < 1 THEN
            ((('0x' || substr(key, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / (1.0 - (('0x' || substr(key, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-           / ((rest / g.source_size) / (1.0 - rest / g.source_size) * ((size * n_docs)::DOUBLE / g.source_size)) END AS rank
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+           / (per_word * size / (1.0 - per_word * size)) ELSE 0.0 END END AS rank
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 un AS (SELECT source, key, rank, rest, sum(size)::BIGINT AS words FROM q WHERE rank IS NOT NULL GROUP BY source, key, rank, rest),
-u AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY rank, key) <= rest AS pre FROM un),
-f0 AS (SELECT source, rest - coalesce(sum(words) FILTER (pre), 0) AS gap, []::VARCHAR[] AS fills FROM u GROUP BY source, rest),
-"""
-    + "".join(f"""f{k} AS (
-  SELECT f.source, gap - coalesce(x.words, 0) AS gap, CASE WHEN x.key IS NULL THEN fills ELSE list_append(fills, x.key) END AS fills
-  FROM f{k - 1} f LEFT JOIN (
-    SELECT u.source, arg_max(key, (words, -rank, key)) AS key, max(words) AS words FROM u JOIN f{k - 1} f ON u.source IS NOT DISTINCT FROM f.source
-    WHERE NOT pre AND words <= gap AND NOT list_contains(fills, key) GROUP BY u.source) x ON x.source IS NOT DISTINCT FROM f.source),
-""" for k in range(1, 9))
-    + r"""z AS (
-  SELECT doc_id, q.source, size, source_size, target, copies + (q.rank IS NOT NULL AND (coalesce(pre, false) OR coalesce(list_contains(fills, q.key), false)))::BIGINT AS copies
-  FROM q LEFT JOIN u ON q.source IS NOT DISTINCT FROM u.source AND q.key = u.key LEFT JOIN f8 ON q.source IS NOT DISTINCT FROM f8.source)
+li AS (SELECT source, rest, list(key ORDER BY rank, key) AS keys, list(words ORDER BY rank, key) AS words FROM un GROUP BY source, rest),
+w AS (
+  SELECT source, keys, words, rest, 0::BIGINT AS i, rest AS gap, 'inf'::DOUBLE AS room, false AS stopped, NULL::VARCHAR AS took FROM li
+  UNION ALL
+  SELECT source, keys, words, rest, i + 1, CASE WHEN fits THEN gap - words[i + 1] ELSE gap END, CASE WHEN ends THEN gap ELSE room END,
+         stopped OR (ends AND gap <= 0.005::DOUBLE * rest), CASE WHEN fits THEN keys[i + 1] END
+  FROM (SELECT *, NOT stopped AND words[i + 1] <= gap AS fits, words[i + 1] > gap AND words[i + 1] <= room AS ends FROM w WHERE i < len(keys))),
+z AS (
+  SELECT doc_id, q.source, size, source_size, target, copies + (took IS NOT NULL)::BIGINT AS copies
+  FROM q LEFT JOIN (SELECT source, took FROM w WHERE took IS NOT NULL) w ON q.source IS NOT DISTINCT FROM w.source AND q.key = w.took AND q.rank IS NOT NULL)
 SELECT *, size * copies AS taken FROM z
 """
-)
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=("doc_id",))
