@@ -10,9 +10,11 @@ r"""MinHash near-duplicates by a signature-coordinate inverted join, confirmed o
    such partner becomes a candidate. Candidates are confirmed on full sets; confirmed ones are joined to components.
 4. Lists whose members are all in one component are skipped. In the others, all pairs between components whose signatures
    agree in MATCHES places or more are confirmed on full sets: those of lists of up to `SMALL` members as a table of
-   different pairs, those of longer lists in blocks of `BLOCK` members against blocks, in a task each, where intersections
-   of all pairs are one matrix product, and only links that join two components of the block pair leave the task. So
-   every pair is looked at, while no long list is expanded into its pairs. Then components once more.
+   different pairs, those of longer lists in blocks of `BLOCK` members against blocks, in two steps. First, on signatures
+   alone, a task for each block pair names the members that agree with one of another component. Only those go on with
+   their full sets, to a task where intersections of all pairs are one matrix product, and only links that join two
+   components of the block pair leave it. So every pair is looked at, while no long list is expanded into its pairs, and
+   sets go only where signatures agree. Then components once more.
 
 A pair with similarity s at the threshold is missed if its signatures agree in fewer than MATCHES places: the probability
 is 2.4e-6.
@@ -40,7 +42,7 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 85
 COORDS, MATCHES, SEED = 64, 40, 20260101
-SMALL, BLOCK = 16, 2048
+SMALL, BLOCK = 16, 1024
 #: Columns of the incidence matrices at a time.
 WIDTH = 4096
 VOCABULARY = 1 << 18  # words whose hashes a worker remembers at a time
@@ -157,16 +159,29 @@ def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(one: pd.DataFrame, two: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links between members of different components, as many as join what they can join."""
+def _agree(one: pd.DataFrame, two: pd.DataFrame) -> np.ndarray:
+    """Which members of one and two are of different components and have signatures that agree in MATCHES places or more."""
     sig = lambda g: np.stack(g.sig.to_numpy()).astype(np.int32)
     s, t = sig(one), sig(two)
     same = np.zeros((len(s), len(t)), np.uint8)
     for k in range(COORDS):
         same += s[:, k, None] == t[None, :, k]
-    ok = (same >= MATCHES) & (one.comp.to_numpy()[:, None] != two.comp.to_numpy()[None, :])
+    return (same >= MATCHES) & (one.comp.to_numpy()[:, None] != two.comp.to_numpy()[None, :])
+
+
+def _likely(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    """The members that agree with one of the other side (that is one, if two is one)."""
+    ok = _agree(one, two)
+    return one[ok.any(1)] if two is one else pd.concat([one[ok.any(1)], two[ok.any(0)]])
+
+
+def _links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between members of different components, as many as join what they can join."""
+    out: list[tuple[int, int]] = []
+    frame = lambda: pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    ok = _agree(one, two)
     if not ok.any():
-        return []
+        return frame()
     sets = lambda g: [np.frombuffer(x, np.uint64) for x in g.shingles]
     a, b = sets(one), sets(two)
     both = _intersections(a, b)
@@ -179,35 +194,40 @@ def _links(one: pd.DataFrame, two: pd.DataFrame) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out, left, right = [], one[["cls", "comp"]].to_numpy(), two[["cls", "comp"]].to_numpy()
+    left, right = one[["cls", "comp"]].to_numpy(), two[["cls", "comp"]].to_numpy()
     for i, j in zip(*np.nonzero(ok & (100 * both >= PERCENT * union)), strict=True):
         x, y = find(left[i, 1]), find(right[j, 1])
         if x != y:
             root[x] = y
             out.append((left[i, 0], right[j, 0]))
-    return out
+    return frame()
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of token, i, j (members of a block pair, on side 0 and 1) to links (a, b)."""
-    held: list[pd.DataFrame] = []
-    key = None
+def _by_block_pair(f, columns: list[str]):
+    """A function for mapInPandas over rows in order of token, i, j: f of the members of each block pair on side 0 and side 1
+    (the same, where i = j)."""
 
-    def flush() -> pd.DataFrame:
-        g = pd.concat(held)
-        one = g[g.side == 0]
-        found = _links(one, one if key[1] == key[2] else g[g.side == 1]) if len(one) else []
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key = None
 
-    for batch in batches:
-        for k, g in batch.groupby(["token", "i", "j"], sort=False):
-            if k != key and held:
-                yield flush()
-                held = []
-            key = k
-            held.append(g)
-    if held:
-        yield flush()
+        def flush() -> Iterator[pd.DataFrame]:
+            g = pd.concat(held)
+            one, two = g[g.side == 0], g[g.side == 1]
+            if len(one) and (key[1] == key[2] or len(two)):
+                yield f(one, one if key[1] == key[2] else two)[columns]
+
+        for batch in batches:
+            for k, g in batch.groupby(["token", "i", "j"], sort=False):
+                if k != key and held:
+                    yield from flush()
+                    held = []
+                key = k
+                held.append(g)
+        if held:
+            yield from flush()
+
+    return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -285,8 +305,13 @@ def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFr
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.select("token", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     rows = rows.select("token", "cls", "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
-    rows = rows.join(sigs, "cls").join(sets, "cls").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return links.union(written(rows.mapInPandas(_compare, "a long, b long"), "near-across"))
+    dealt = lambda df: df.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    names = ["token", "i", "j", "side", "cls", "comp"]
+    likely = written(dealt(rows.join(sigs, "cls")).mapInPandas(_by_block_pair(_likely, names), "token long, i int, j int, side int, cls long, comp long"), "near-likely")
+    if likely.isEmpty():
+        return links
+    found = dealt(likely.join(sigs, "cls").join(sets, "cls")).mapInPandas(_by_block_pair(_links, ["a", "b"]), "a long, b long")
+    return links.union(written(found, "near-across"))
 
 
 def drop_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

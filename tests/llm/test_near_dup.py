@@ -114,3 +114,14 @@ def test_components(spark):
     assert got.keys() == root.keys()
     assert len({(find(x), c) for x, c in got.items()}) == len({find(x) for x in root}) == len(set(got.values()))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    from cadenza.llm import components as module
+
+    rounds, written = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, label: rounds.append(label) or written(df, label))
+    n = 1024
+    got = components(spark.range(n).selectExpr("id as a", "id + 1 as b")).collect()
+    assert len(got) == n + 1 and len({r["comp"] for r in got}) == 1
+    assert rounds.count("cc-first") <= 12
