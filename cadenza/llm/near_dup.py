@@ -1,6 +1,6 @@
 r"""MinHash near-duplicates by a signature-coordinate inverted join, confirmed on full shingle sets.
 
-1. Each text gets its set of distinct 3-word shingles (64-bit hashes) and a signature of `COORDS` minima. Texts with equal
+1. Each text gets its set of distinct shingles (64-bit hashes) and a signature of `COORDS` minima. Texts with equal
    sets are one class; only classes go on, so copies cost nothing further.
 2. Each class is posted under its (coordinate, value) pairs, and the pairs are counted. Two signatures that agree in
    `MATCHES` places or more share a pair among the first COORDS - MATCHES + 1 of either, in the order of ascending
@@ -16,11 +16,12 @@ r"""MinHash near-duplicates by a signature-coordinate inverted join, confirmed o
    components of the block pair leave it. So every pair is looked at, while no long list is expanded into its pairs, and
    sets go only where signatures agree. Then components once more.
 
-A pair with similarity s at the threshold is missed if its signatures agree in fewer than MATCHES places: the probability
-is 2.4e-6.
+A `Rule` says how many words a shingle has, which similarity links, and how many of the COORDS places must agree (MATCHES
+above). A pair at the threshold is missed if its signatures agree in fewer places: the probability is 2.4e-6 for
+`CONTRACT` (3 words, 0.85) and 1.2e-6 for `FIVE_WORDS` (5 words, 0.8).
 
 Words: A-Z lower-cased, ``[^\x20\x09-\x0D]+``. Defined cases: null or empty text has an empty set, linked with nothing;
-texts of one or two words have one shingle; a null doc_id stands for no component (component_id null, kept true) and is
+texts of fewer words than a shingle have one; a null doc_id stands for no component (component_id null, kept true) and is
 never a representative; repeated rows each get a row, in the same component; no rows give no rows; other columns are
 ignored by `link` and kept by `drop_duplicates`.
 """
@@ -28,6 +29,7 @@ ignored by `link` and kept by `drop_duplicates`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,14 +42,25 @@ from xxhash import xxh64_intdigest
 from .common import BROADCAST_ROWS, small, written
 from .components import components
 
-SHINGLE, PERCENT = 3, 85
-COORDS, MATCHES, SEED = 64, 40, 20260101
+COORDS, SEED = 64, 20260101
 SMALL, BLOCK = 16, 1024
 #: Columns of the incidence matrices at a time.
 WIDTH = 4096
 VOCABULARY = 1 << 18  # words whose hashes a worker remembers at a time
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Which texts are near-duplicates: words of a shingle, least similarity in percent, places of a signature that must agree."""
+
+    shingle: int
+    percent: int
+    matches: int
+
+
+CONTRACT, FIVE_WORDS = Rule(3, 85, 40), Rule(5, 80, 35)
+
+
 class _WordHashes(dict):
     """word -> 64-bit hash, remembered."""
 
@@ -58,7 +71,7 @@ class _WordHashes(dict):
         return h
 
 
-def shingle_set(text: str | None, hashes: dict, size: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, hashes: dict, size: int = CONTRACT.shingle) -> np.ndarray:
     """Sorted distinct uint64 hashes of the text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: A-Z and ASCII white space only
     if not words:
@@ -96,43 +109,52 @@ def set_class(shingles: np.ndarray) -> int:
 FEATURES = "doc_id long, fingerprint long, n_shingles long, cls long, sig array<int>"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, coords = _WordHashes(), _coefficients(COORDS)
-    for batch in batches:
-        size, cls, sig = [], [], []
-        for text in batch.column(2):
-            s = shingle_set(text.as_py(), hashes)
-            size.append(len(s))
-            cls.append(set_class(s) if len(s) else None)
-            sig.append(signature(s, coords) if len(s) else np.zeros(COORDS, np.uint32))
-        values = np.concatenate(sig).view(np.int32) if sig else np.empty(0, np.int32)
-        sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, COORDS * (len(sig) + 1), COORDS), pa.int32()), pa.array(values))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), sigs], ["doc_id", "fingerprint", "n_shingles", "cls", "sig"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):  # sets are longer than texts: small batches out
-            part = batch.slice(k, 256)
-            sets = [shingle_set(t.as_py(), hashes).tobytes() for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["cls", "shingles"])
-
-
-@F.pandas_udf(T.BooleanType())
-def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(left, right, strict=True):
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(a) > len(b):
-            a, b = b, a
-        if 100 * len(a) < PERCENT * len(b):
-            out.append(False)
-            continue
-        at = np.searchsorted(b, a)
-        both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-        out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-    return pd.Series(out, dtype=bool)
+def _features(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, coords = _WordHashes(), _coefficients(COORDS)
+        for batch in batches:
+            size, cls, sig = [], [], []
+            for text in batch.column(2):
+                s = shingle_set(text.as_py(), hashes, rule.shingle)
+                size.append(len(s))
+                cls.append(set_class(s) if len(s) else None)
+                sig.append(signature(s, coords) if len(s) else np.zeros(COORDS, np.uint32))
+            values = np.concatenate(sig).view(np.int32) if sig else np.empty(0, np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, COORDS * (len(sig) + 1), COORDS), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), sigs], ["doc_id", "fingerprint", "n_shingles", "cls", "sig"])
+
+    return run
+
+
+def _sets(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):  # sets are longer than texts: small batches out
+                part = batch.slice(k, 256)
+                sets = [shingle_set(t.as_py(), hashes, rule.shingle).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["cls", "shingles"])
+
+    return run
+
+
+def _similar(rule: Rule):
+    @F.pandas_udf(T.BooleanType())
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if len(a) > len(b):
+                a, b = b, a
+            if 100 * len(a) < rule.percent * len(b):
+                out.append(False)
+                continue
+            at = np.searchsorted(b, a)
+            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            out.append(100 * both >= rule.percent * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
+    return similar
 
 
 def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -159,27 +181,27 @@ def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _agree(one: pd.DataFrame, two: pd.DataFrame) -> np.ndarray:
-    """Which members of one and two are of different components and have signatures that agree in MATCHES places or more."""
+def _agree(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> np.ndarray:
+    """Which members of one and two are of different components and have signatures that agree in enough places."""
     sig = lambda g: np.stack(g.sig.to_numpy()).astype(np.int32)
     s, t = sig(one), sig(two)
     same = np.zeros((len(s), len(t)), np.uint8)
     for k in range(COORDS):
         same += s[:, k, None] == t[None, :, k]
-    return (same >= MATCHES) & (one.comp.to_numpy()[:, None] != two.comp.to_numpy()[None, :])
+    return (same >= rule.matches) & (one.comp.to_numpy()[:, None] != two.comp.to_numpy()[None, :])
 
 
-def _likely(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+def _likely(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """The members that agree with one of the other side (that is one, if two is one)."""
-    ok = _agree(one, two)
+    ok = _agree(one, two, rule)
     return one[ok.any(1)] if two is one else pd.concat([one[ok.any(1)], two[ok.any(0)]])
 
 
-def _links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+def _links(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """Links (a, b) between members of different components, as many as join what they can join."""
     out: list[tuple[int, int]] = []
     frame = lambda: pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    ok = _agree(one, two)
+    ok = _agree(one, two, rule)
     if not ok.any():
         return frame()
     sets = lambda g: [np.frombuffer(x, np.uint64) for x in g.shingles]
@@ -195,7 +217,7 @@ def _links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         return x
 
     left, right = one[["cls", "comp"]].to_numpy(), two[["cls", "comp"]].to_numpy()
-    for i, j in zip(*np.nonzero(ok & (100 * both >= PERCENT * union)), strict=True):
+    for i, j in zip(*np.nonzero(ok & (100 * both >= rule.percent * union)), strict=True):
         x, y = find(left[i, 1]), find(right[j, 1])
         if x != y:
             root[x] = y
@@ -203,7 +225,7 @@ def _links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
     return frame()
 
 
-def _by_block_pair(f, columns: list[str]):
+def _by_block_pair(f, columns: list[str], rule: Rule):
     """A function for mapInPandas over rows in order of token, i, j: f of the members of each block pair on side 0 and side 1
     (the same, where i = j)."""
 
@@ -215,7 +237,7 @@ def _by_block_pair(f, columns: list[str]):
             g = pd.concat(held)
             one, two = g[g.side == 0], g[g.side == 1]
             if len(one) and (key[1] == key[2] or len(two)):
-                yield f(one, one if key[1] == key[2] else two)[columns]
+                yield f(one, one if key[1] == key[2] else two, rule)[columns]
 
         for batch in batches:
             for k, g in batch.groupby(["token", "i", "j"], sort=False):
@@ -230,16 +252,16 @@ def _by_block_pair(f, columns: list[str]):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.select("a", "b", _similar("x", "y").alias("linked")).where("linked").select("a", "b"), "near-pairs")
+    return written(both.select("a", "b", _similar(rule)("x", "y").alias("linked")).where("linked").select("a", "b"), "near-pairs")
 
 
-def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def link(documents: DataFrame, doc: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """One row per document row: doc_id, fingerprint (of the text), n_shingles, component_id, kept."""
     texts = documents.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("fingerprint"), F.col(text).alias("text"))
-    docs = written(texts.mapInArrow(_features, FEATURES), "near-features")
+    docs = written(texts.mapInArrow(_features(rule), FEATURES), "near-features")
     named = docs.where("cls is not null and doc_id is not null")
     classes = named.groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"))
     classes = written(classes, "near-classes")
@@ -248,7 +270,7 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     tokens = classes.select("cls", F.posexplode("sig").alias("pos", "value")).select("cls", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(counts, "token").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))  # at most COORDS
-    prefix = shared.where(F.size("shared") >= MATCHES).select("cls", F.explode(F.slice("shared", 1, F.size("shared") - MATCHES + 1)).alias("s"))
+    prefix = shared.where(F.size("shared") >= rule.matches).select("cls", F.explode(F.slice("shared", 1, F.size("shared") - rule.matches + 1)).alias("s"))
     lists = written(prefix.select("cls", F.col("s.token").alias("token")), "near-lists")
     alive = lists.select("cls").distinct()
 
@@ -258,7 +280,7 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     reps = docs.where("cls is not null").select("doc_id", "fingerprint", "cls")
     reps = reps.join(wanted.withColumnRenamed("cls", "cls_"), (F.col("cls") == F.col("cls_")) & (F.col("doc_id") == F.col("first_doc_"))).groupBy("cls").agg(F.first("doc_id").alias("d"), F.first("fingerprint").alias("p"))
     reps = small(written(reps, "near-reps"))
-    sets = texts.join(reps, (F.col("doc_id") == F.col("d")) & (F.col("fingerprint") == F.col("p"))).select("cls", "text").mapInArrow(_sets, "cls long, shingles binary")
+    sets = texts.join(reps, (F.col("doc_id") == F.col("d")) & (F.col("fingerprint") == F.col("p"))).select("cls", "text").mapInArrow(_sets(rule), "cls long, shingles binary")
     sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # repeated rows of the representative
     sets = written(sets, "near-sets")
 
@@ -266,9 +288,9 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     first = lists.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hits = lists.join(first, "token").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
     pairs = hits.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    links = _confirmed(pairs, sets)
+    links = _confirmed(pairs, sets, rule)
     comps = components(links)
-    more = _across(lists, classes, comps, sets)
+    more = _across(lists, classes, comps, sets, rule)
     if more is not None:
         comps = components(links.union(more))
 
@@ -281,7 +303,7 @@ def link(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     return out.select("doc_id", "fingerprint", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
     """Links (a, b) between components, from lists that hold more than one; None if no list does."""
     rows = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"))
     rows = written(rows, "near-members")
@@ -298,7 +320,7 @@ def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFr
     pairs = members.select(F.explode(cross).alias("p")).select("p.a", "p.b").distinct()
     pairs = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("t")), "b")
     same = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    links = _confirmed(pairs.where(same >= MATCHES).select("a", "b"), sets)
+    links = _confirmed(pairs.where(same >= rule.matches).select("a", "b"), sets, rule)
 
     # Long lists, in block pairs i <= j: a member of block k is on side 0 where i = k, and on side 1 where j = k > i.
     rows = rows.where(F.col("n") > SMALL)
@@ -307,16 +329,16 @@ def _across(lists: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFr
     rows = rows.select("token", "cls", "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
     dealt = lambda df: df.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     names = ["token", "i", "j", "side", "cls", "comp"]
-    likely = written(dealt(rows.join(sigs, "cls")).mapInPandas(_by_block_pair(_likely, names), "token long, i int, j int, side int, cls long, comp long"), "near-likely")
+    likely = written(dealt(rows.join(sigs, "cls")).mapInPandas(_by_block_pair(_likely, names, rule), "token long, i int, j int, side int, cls long, comp long"), "near-likely")
     if likely.isEmpty():
         return links
-    found = dealt(likely.join(sigs, "cls").join(sets, "cls")).mapInPandas(_by_block_pair(_links, ["a", "b"]), "a long, b long")
+    found = dealt(likely.join(sigs, "cls").join(sets, "cls")).mapInPandas(_by_block_pair(_links, ["a", "b"], rule), "a long, b long")
     return links.union(written(found, "near-across"))
 
 
-def drop_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", rule: Rule = FIVE_WORDS) -> DataFrame:
     """documents without those that are not kept; all columns stay."""
-    gone = link(documents, doc, text).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("fingerprint").alias("__print")).distinct()
+    gone = link(documents, doc, text, rule).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("fingerprint").alias("__print")).distinct()
     gone = written(gone, "near-gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
     return documents.join(gone, (documents[doc] == F.col("__doc")) & F.xxhash64(documents[text]).eqNullSafe(F.col("__print")), "left_anti")

@@ -10,13 +10,13 @@ from cadenza.llm import near_dup
 from cadenza.llm.components import components
 
 
-def shingles(t):
+def shingles(t, size=3):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
-    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 3 else frozenset(zip(w, w[1:], w[2:]))
+    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < size else frozenset(zip(*[w[k:] for k in range(size)]))
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, size=3, percent=85):
+    sets = [(i, shingles(t, size)) for i, t in rows]
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -26,7 +26,7 @@ def brute(rows):
 
     for a, (i, s) in enumerate(sets):
         for j, t in sets[:a]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return sorted((i, len(s), find(i), find(i) == i) for i, s in sets)
@@ -51,9 +51,9 @@ def made(seed, groups=12, size=14):
     return list(enumerate(texts))
 
 
-def linked(spark, rows):
+def linked(spark, rows, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash")).repartition(3)
-    return sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.link(df).collect())
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.link(df, **options).collect())
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -62,6 +62,12 @@ def test_against_brute_force(spark, seed):
     assert linked(spark, rows) == brute(rows)
 
 
+def test_five_word_shingles_against_brute_force(spark):
+    rows = made(5, groups=8)
+    got = linked(spark, rows, rule=near_dup.FIVE_WORDS)
+    assert got == brute(rows, 5, 80) and got != brute(rows)
+
+
 def test_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 5)
     monkeypatch.setattr(near_dup, "SMALL", 2)
@@ -72,7 +78,7 @@ def test_blocks_lose_nothing(spark, monkeypatch):
 
 def test_cases(spark):
     kind = "doc_id long, text string, n_chars long"
-    rows = [(5, "a b c d", 1), (5, "a b c d", 1), (None, "a b c d", 1), (7, "A b  c d", 1), (8, None, 0), (9, "", 0)]
+    rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (None, "a b c d e f", 1), (7, "A b  c d e f", 1), (8, None, 0), (9, "", 0)]
     d = spark.createDataFrame(rows, kind)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.link(d).collect()), key=repr)
     assert got == sorted([(5, 5, True), (5, 5, True), (None, None, True), (7, 5, False), (8, 8, True), (9, 9, True)], key=repr)
