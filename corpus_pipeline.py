@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
-    return near_dup.drop_duplicates(docs)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id stays."""
+    return near_dup.drop_duplicates(docs, rule=near_dup.FIVE_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
