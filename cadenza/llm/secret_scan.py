@@ -3,13 +3,14 @@ r"""Secret scans: fixed patterns, and character Markov models of random strings
 Patterns, leftmost and non-overlapping per kind: `assign`, `access` and `hex` (see PATTERNS). Besides, every run of
 ``[A-Za-z0-9+/_=-]``, less the pattern spans in it, leaves parts of 16 or more characters, which are scored by two
 first-order Markov models over characters: one of random strings, one of ordinary identifiers. A part whose mean
-log-likelihood ratio is above the threshold is a `random` span. In any other part, pieces of 16 or more characters between
+log-likelihood ratio is above the threshold is a `random` span. So is a piece of letters and digits that holds an `access` or
+`hex` span and more, if its mean is above the threshold: such a span is a cut of a longer secret. In any other part, pieces of 16 or more characters between
 ``+/_=-`` whose mean is above it are, and stretches whose summed ratios pass a second threshold, so that a path or a name
 beside a secret does not hide it. A stretch is widened to whole pieces
 (an outer piece of which it holds less than half is left out) and has 16 or more characters; short
 numbers and repeated separators, as in dates and rules, do not count for it. Both models are trained from labelled samples:
-random strings from a seeded generator, identifiers made of words of about `TRAIN_DOCS` documents (those whose hash is below
-a rate; `TRAIN_WORDS` words from each at most). The thresholds are set on a part of the samples that the models have not
+random strings from a seeded generator, identifiers made of about `TRAIN_WORDS` different words of about `TRAIN_DOCS` documents
+(those whose hash is below a rate; their whole texts). The thresholds are set on a part of the samples that the models have not
 seen, that of the stretches on identifiers joined to paths.
 
 Offsets are code points, the end exclusive. Defined cases: null and empty text has no spans; repeated rows each get their
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import below_rate
+from .common import below_rate, written
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns.
@@ -40,7 +41,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 #: re.ASCII: without it, two letters outside ASCII would count as s and k in either case.
 _ASSIGN, _ACCESS = re.compile(PATTERNS["assign"], re.IGNORECASE | re.ASCII), re.compile(PATTERNS["access"], re.ASCII)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TRAIN_DOCS, TRAIN_WORDS, SAMPLES, SEED = 2000, 40, 20_000, 7
+TRAIN_DOCS, TRAIN_WORDS, SAMPLES, SEED = 2000, 20_000, 20_000, 7
 BUILT_IN = ("get", "set", "user", "name", "value", "index", "count", "list", "file", "path", "id", "key", "max", "min")
 
 
@@ -50,7 +51,7 @@ def _in(chars: bytes) -> np.ndarray:
     return table
 
 
-_HEX, _RUN = _in(b"0123456789abcdef"), _in(ALPHABET.encode())
+_HEX, _RUN, _ALNUM = _in(b"0123456789abcdef"), _in(ALPHABET.encode()), _in(ALPHABET[:62].encode())
 _PIECE, _FLAT = re.compile(rb"[A-Za-z0-9]+"), re.compile(rb"(?<![A-Za-z0-9])[0-9]{1,8}(?![A-Za-z0-9])|([+/_=-])\1+")
 _CODE = np.full(256, 0, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(1, len(ALPHABET) + 1)
@@ -168,10 +169,12 @@ def identifiers(words: list[str], n: int = SAMPLES, seed: int = SEED) -> list[st
 
 
 def train(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> Model:
-    rows = documents.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc), F.length(text)).alias("h"), F.slice(F.split(F.col(text), "[^A-Za-z]+", TRAIN_WORDS + 1), 1, TRAIN_WORDS).alias("w"))
-    n = rows.count()
-    rows = rows.where(below_rate(F.col("h"), min(1.0, TRAIN_DOCS / max(n, 1)))).select("w").collect()
-    return Model(random_strings(), identifiers([w for r in rows for w in r["w"] if 1 < len(w) <= 24]))
+    rows = documents.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc), F.length(text)).alias("h"), F.col(text).alias("t"))
+    rows = rows.where(below_rate(F.col("h"), min(1.0, TRAIN_DOCS / max(rows.count(), 1))))
+    words = rows.select(F.explode(F.array_distinct(F.split("t", "[^A-Za-z]+"))).alias("w")).where(F.length("w").between(2, 24)).distinct()
+    words = written(words, "secret-words")
+    words = words.where(below_rate(F.xxhash64("w"), min(1.0, TRAIN_WORDS / max(words.count(), 1))))
+    return Model(random_strings(), identifiers([r["w"] for r in words.collect()]))
 
 
 def find(text: str | None, model: Model | None) -> list[tuple[int, int, int]]:
@@ -179,20 +182,31 @@ def find(text: str | None, model: Model | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    ascii_ = len(raw) == len(text)
-    at = (lambda k: k) if ascii_ else (lambda k: len(raw[:k].decode("utf-8", "surrogatepass")))
-    to = (lambda k: k) if ascii_ else (lambda k: len(text[:k].encode("utf-8", "surrogatepass")))
+    chars = np.frombuffer(raw, np.uint8)
+    at = to = int
+    if len(raw) != len(text):  # between bytes and code points
+        first = (chars & 0xC0) != 0x80
+        of_byte, of_char = np.concatenate([[0], np.cumsum(first)]), np.append(np.flatnonzero(first), len(raw))
+        at, to = (lambda k: int(of_byte[k])), (lambda k: int(of_char[k]))
     low, out = raw.lower(), []
     if any(k in low for k in KEYWORDS):
         out += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if b"AKIA" in raw:
         out += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    chars = np.frombuffer(raw, np.uint8)
     hexes = list(runs(_HEX[chars], LEAST["hex"]))
     if model is not None:
         inside = _RUN[chars]
-        for s, e in [(to(s), to(e)) for s, e, _ in out] + hexes:
+        whole = [(to(s), to(e), k) for s, e, k in out] + [(s, e, 2) for s, e in hexes]
+        found: set[tuple[int, int]] = set()
+        cuts = [s for s, _, kind in whole if kind != 0]
+        if cuts:  # the pieces of letters and digits that hold them
+            edge = np.flatnonzero(np.diff(_ALNUM[chars], prepend=0, append=0))
+            k = np.unique(np.searchsorted(edge[::2], cuts, "right") - 1)
+            found = set(zip(edge[::2][k].tolist(), edge[1::2][k].tolist(), strict=True)) - {(s, e) for s, e, _ in whole}
+            found = {(s, e) for s, e in found if model.ratio(raw[s:e]) > model.threshold}
+        for s, e in [(s, e) for s, e, _ in whole] + sorted(found):
             inside[s:e] = 0
+        out += [(at(s), at(e), 3) for s, e in found]
         for s, e in runs(inside, LEAST["random"]):
             part = raw[s:e]
             here = [(0, e - s)] if model.ratio(part) > model.threshold else model.stretches(part)

@@ -236,6 +236,27 @@ def test_parts_outside_pattern_spans_are_scanned(secret_model):
     assert kinds("/news/of/2024/11/26/value/of/the/index/10/30/channel") == []
 
 
+def test_a_pattern_inside_a_longer_secret_does_not_cut_it(spark, secret_model):
+    rng, letters = random.Random(4), string.ascii_letters + string.digits
+    cut = lambda n: "".join(rng.choices(letters, k=n))
+    left = 0
+    for k in range(200):
+        inner = "".join(rng.choices("0123456789abcdef", k=16)) if k % 2 else "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16))
+        secret = f"{cut(12)}Z{inner}Z{cut(12)}"
+        text = f"é the {secret} of"
+        spans = secret_scan.find(text, secret_model)
+        assert [x for x in spans if x[2] != 3] == brute_spans(text)
+        left += not any(s <= 6 and 6 + len(secret) <= e for s, e, _ in spans)
+    assert left <= 4
+    odd = spark.createDataFrame([(1, f"a {secret} b", 0, "x")], "doc_id long, text string, n_chars long, spans string")
+    assert tuple(secret_scan.redact(odd, secret_model).first()) == (1, "a [SECRET] b", 12, "x")
+
+
+def test_many_spans_in_a_long_text(secret_model):
+    text = "é token: abcdefghijklmnop 0123456789abcdef0 " * 20_000
+    assert secret_scan.find(text, secret_model) == brute_spans(text)
+
+
 @pytest.fixture(scope="module")
 def secret_model(spark):
     return secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
