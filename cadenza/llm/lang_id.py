@@ -10,7 +10,7 @@ predictions cover all rows and whole texts.
 
 Defined cases: null text and text without a letter is `und` with score 0; a null id is not held out; rows with null text or lang are not trained on;
 without training rows all is `und`; a language of a single document is learned as any other; repeated rows each get their
-prediction; `predict` keeps all columns of its input.
+prediction; `predict` keeps all columns of its input but those named lang_pred and score, which it replaces.
 """
 
 from __future__ import annotations
@@ -202,4 +202,4 @@ def predict(documents: DataFrame, net: BiGru | None, text: str = "text") -> Data
             yield out
 
     done = documents.withColumn("__lang", labels(F.coalesce(F.col(text), F.lit(""))))
-    return done.select(*documents.columns, "__lang.lang_pred", "__lang.score")
+    return done.select(*[c for c in documents.columns if c not in ("lang_pred", "score")], "__lang.lang_pred", "__lang.score")

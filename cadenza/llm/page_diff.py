@@ -1,23 +1,26 @@
 r"""HTML extraction by nearest-URL page differencing.
 
 1. Each page is cut into lines, one for each block of text, and each line keeps the zone it stands in: `main` (inside
-   article or main), `off` (inside a menu, header, footer, sidebar, form, notice, advert or comments, by tag, role, class
-   or id) or `open` (neither). Scripts, styles, markup and HTML comments are no lines. Character references are decoded
-   and white space inside a line is one space.
+   an article), `off` (inside a menu, header, footer, sidebar, form, notice, advert or comments, by tag, role, class
+   or id; an article's own header is part of it) or `open` (neither). Scripts, styles, markup and HTML comments are no
+   lines. Character references are decoded and white space inside a line is one space.
 2. Pages of a host are sorted by URL path, and each page is paired with its nearest neighbour in that order: the one before or
    after it that shares the longer prefix of the path (the one before, if equal). No host is gathered in one task: a sample
-   of the keys (host, path, id) cuts their order into blocks, and the first and last page of each block also go, as guests,
-   to the block before and after it. So each page meets its true neighbours, wherever the cuts are.
-3. The lines of both pages are aligned by longest common subsequence, and lines that both share are deleted: what is the
-   same on neighbouring pages is the site's frame. Lines in `main` are proof against this, as pages that repeat an article,
-   or a passage of one, would otherwise lose text; lines in `off` that are not shared (an advert of its own on each page)
-   go too. So the difference alone decides on `open` lines.
-
-A page without `main` lines keeps its `open` lines that differ from the neighbour's; a host's only page keeps them all.
+   of the keys (host, path, id, url) cuts their order into blocks of about `BLOCK_PAGES` pages, one task each, and the first
+   and last page of each block also go, as guests, to the block before and after it. So each page meets its true
+   neighbours, wherever the cuts are. Lines are shuffled, not html.
+3. The lines of both pages are aligned by longest common subsequence, and `open` lines that both share are deleted: what is
+   the same on neighbouring pages is the site's frame. If both share all `open` lines, the page is a copy of that neighbour,
+   which says nothing of the frame, and the other neighbour is taken; if it is a copy of both, all lines stay.
+
+The text is the `main` lines and what the difference leaves of the `open` ones, in page order. `main` lines are proof
+against deletion, as pages that repeat an article, or a passage of one, would otherwise lose text of theirs; `off` lines go
+whether shared or not, as an advert of its own on each page is no main text either. A host's only page keeps all its `open`
+lines.
 
 Defined cases: null html is empty and gives an empty text; a null or unusual URL has an empty host and path, as pages of one
 host; equal URLs go by page id; repeated rows are pages of their own; no rows give no rows; unclosed and truncated markup
-ends at the end of the page; only the named columns are read.
+ends at the end of the page, an unclosed quote in a tag at the next quote; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags and names of page parts.
 SKIP = frozenset("script style noscript template svg math iframe object canvas head title select textarea button audio video".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 OFF_TAGS = frozenset("nav header footer aside form dialog menu fieldset".split())
-MAIN_TAGS = frozenset("article main".split())
+MAIN_TAGS = frozenset(["article"])
+HEADING = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html"
     " legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -50,14 +56,18 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 OFF, OPEN, MAIN, HIDDEN = "-", "o", "m", "x"
+#: Pairs of equal lines, for each line, from which bits are faster than lists of pairs.
+MANY = 8
 
 
-def _zone(tag: str, attrs: str) -> str | None:
-    if tag in OFF_TAGS:
+def _zone(tag: str, attrs: str, inside: str) -> str | None:
+    if tag in OFF_TAGS and not (tag == "header" and inside == MAIN):
         return OFF
     if attrs:
         for m in _NAMED.finditer(attrs):
             value = m[2] or m[3] or m[4] or ""
+            if inside == MAIN and m[1].lower() != "role":
+                value = HEADING.sub(" ", value)
             if value.lower() in OFF_ROLES if m[1].lower() == "role" else OFF_NAMES.search(value):
                 return OFF if tag not in ("html", "body") and tag not in MAIN_TAGS else None
     return MAIN if tag in MAIN_TAGS else None
@@ -110,7 +120,7 @@ def lines_of(page: str | None) -> list[str]:
             buffer.append(" ")
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        new = HIDDEN if tag in SKIP else _zone(tag, m[3])
+        new = HIDDEN if tag in SKIP else _zone(tag, m[3], zone)
         if tag == "body":  # ends a head that was left open
             stack.clear()
             zone = OPEN
@@ -137,6 +147,10 @@ def shared_lines(one: list[str], two: list[str]) -> list[bool]:
     places: dict[str, list[int]] = {}
     for j in range(hi_b - 1, lo - 1, -1):
         places.setdefault(two[j], []).append(j)
+    if sum(len(places.get(x, ())) for x in one[lo:hi_a]) > MANY * (hi_a + hi_b):  # lines that repeat often: by bits instead
+        for i in _common_by_bits(one[lo:hi_a], two[lo:hi_b]):
+            out[lo + i] = True
+        return out
     tails: list[int] = []
     links: list[tuple | None] = []
     for i in range(lo, hi_a):
@@ -155,13 +169,49 @@ def shared_lines(one: list[str], two: list[str]) -> list[bool]:
     return out
 
 
-def main_text(lines: list[str], neighbour: list[str] | None) -> tuple[str, int, int]:
-    """What stays of a page's lines beside its neighbour's, in one line; how many lines both share, and how many of them were deleted."""
-    shared = shared_lines(lines, neighbour) if neighbour else [False] * len(lines)
-    main = any(x[0] == MAIN for x in lines)
-    left = [x for x, s in zip(lines, shared, strict=True) if x[0] == MAIN or not s]
-    text = " ".join(x[1:] for x in left if x[0] == (MAIN if main else OPEN))
-    return text, sum(shared), len(lines) - len(left)
+def _lengths(one: list[str], two: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of `one` and each beginning of `two`, from the shortest; a row of the table
+    is one whole number, in which a 0 marks a place where the length grows."""
+    masks: dict[str, int] = {}
+    for j, x in enumerate(two):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = row = (1 << len(two)) - 1
+    for x in one:
+        if m := masks.get(x, 0):
+            both = row & m
+            row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(two) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(two)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _common_by_bits(one: list[str], two: list[str]) -> Iterator[int]:
+    """Places in `one` of a longest common subsequence: halves of `one` against the two parts of `two` that do best, again and
+    again. Memory grows with the lines, time with their product over the bits of a word."""
+    if not one or not two:
+        return
+    if len(one) == 1:
+        if one[0] in two:
+            yield 0
+        return
+    k = len(one) // 2
+    cut = int(np.argmax(_lengths(one[:k], two) + _lengths(one[k:][::-1], two[::-1])[::-1]))
+    yield from _common_by_bits(one[:k], two[:cut])
+    yield from (k + i for i in _common_by_bits(one[k:], two[cut:]))
+
+
+def main_text(lines: list[str], *neighbours: list[str]) -> tuple[str, int, int]:
+    """What stays of a page's lines beside its neighbours', in one line; how many lines it shares with the neighbour that
+    decided, and how many of them were deleted. The next neighbour is asked only if all open lines are shared with one."""
+    shared = [False] * len(lines)
+    for near in neighbours:
+        shared = shared_lines(lines, near)
+        if not all(s for x, s in zip(lines, shared, strict=True) if x[0] == OPEN):
+            gone = [s and x[0] == OPEN for x, s in zip(lines, shared, strict=True)]
+            break
+    else:
+        gone = [False] * len(lines)
+    text = " ".join(x[1:] for x, g in zip(lines, gone, strict=True) if x[0] != OFF and not g)
+    return text, sum(shared), sum(gone)
 
 
 def _common(a: str, b: str) -> int:
@@ -169,30 +219,29 @@ def _common(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def _nearest(page, before, after):
-    """Of rows (host, path, ...), the one of the same host whose path shares the longer prefix, or None."""
+def _nearest(page, before, after) -> list:
+    """Of rows (host, path, ...), those of the same host, the one whose path shares the longer prefix first."""
     found = [x for x in (before, after) if x is not None and x[0] == page[0]]
-    return max(found, key=lambda x: _common(x[1], page[1]), default=None)
+    return sorted(found, key=lambda x: -_common(x[1], page[1]))
 
 
 OUT = "page_id long, url string, text string, n_shared long, n_deleted long"
-#: Keys sampled for each block.
-SAMPLE = 32
+#: Pages of a block, keys sampled for each block, and the most blocks there are (beyond them, blocks grow; tasks read them in order).
+BLOCK_PAGES, SAMPLE, MOST_BLOCKS = 4096, 32, 20_000
 
 
 def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (block, key, host, path, guest, page_id, url, html) in order of block and key to OUT, guests left out."""
+    """Rows (block, key, host, path, guest, page_id, url, lines) in order of block and key to OUT, guests left out."""
     held: list[tuple] = []  # the page before and the page itself, once cut into lines
 
     def rows() -> Iterator[tuple | None]:
         for b in batches:
-            yield from zip(b.host, b.path, b.block, b.guest, b.page_id, b.url, map(lines_of, b.html), strict=True)
+            yield from zip(b.host, b.path, b.block, b.guest, b.page_id, b.url, map(list, b.lines), strict=True)
             yield None  # the end of a batch
 
     def result(before, page, after) -> tuple:
         mates = [x if x is not None and x[2] == page[2] else None for x in (before, after)]
-        near = _nearest(page, *mates)
-        return (page[4], page[5], *main_text(page[6], near[6] if near else None))
+        return (page[4], page[5], *main_text(page[6], *[x[6] for x in _nearest(page, *mates)]))
 
     done: list[tuple] = []
     frame = lambda: pd.DataFrame(done, columns=["page_id", "url", "text", "n_shared", "n_deleted"]).astype({"page_id": "Int64"})
@@ -211,16 +260,21 @@ def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _lines(html: pd.Series) -> pd.Series:
+    return html.map(lines_of)
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", blocks: int | None = None) -> DataFrame:
     """One row per page row: page_id, url, text, n_shared and n_deleted (lines shared with the neighbour, and deleted for it)."""
-    blocks = blocks or max(2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), _lines(F.coalesce(F.col(html), F.lit(""))).alias("lines"))
     part = lambda pattern: F.coalesce(F.regexp_extract("url", pattern, 1), F.lit(""))
     digits = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # noqa: E731  in the order of the numbers
     rows = rows.withColumns({"host": F.lower(part(_HOST)), "path": part(_PATH)})
-    key = F.concat_ws("\0", "host", "path", F.coalesce(digits(F.col("page_id")), F.lit("")), F.coalesce("url", F.lit("")), digits(F.xxhash64("html")))
-    keys = rows.select(key.alias("key"))
+    key = F.concat_ws("\0", "host", "path", F.coalesce(digits(F.col("page_id")), F.lit("")), F.coalesce("url", F.lit("")))
+    keys = rows.select(key.alias("key"))  # of two narrow columns
     n = keys.count()
+    blocks = blocks or min(max(-(-n // BLOCK_PAGES), 8), MOST_BLOCKS)
     drawn = keys if n <= SAMPLE * blocks else keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) < SAMPLE * blocks)
     drawn = sorted(r[0] for r in drawn.limit(64 * SAMPLE * blocks).collect())  # the limit guards the driver; the cuts decide nothing but evenness
     cuts = sorted({drawn[len(drawn) * k // blocks] for k in range(1, blocks)}) if drawn else []
@@ -241,7 +295,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return keys.map(lambda k: [bisect_right(cuts, k), *guests.get(k, ())])
 
     rows = rows.withColumn("key", key)
-    rows = rows.select("key", "host", "path", "page_id", "url", "html", F.posexplode(seats("key")).alias("seat", "block"))
+    rows = rows.select("key", "host", "path", "page_id", "url", "lines", F.posexplode(seats("key")).alias("seat", "block"))
     rows = rows.withColumn("guest", F.col("seat") > 0).drop("seat")
-    rows = rows.repartition(max(blocks // 2, 1), "block").sortWithinPartitions("block", "key", "guest")
+    rows = rows.repartition(blocks, "block").sortWithinPartitions("block", "key", F.xxhash64("lines"))
     return rows.mapInPandas(_pair, OUT)

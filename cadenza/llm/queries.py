@@ -175,6 +175,15 @@ def op3_warc_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+#: Base32 of the digest from its hex digits: 5 of these are 4 of those.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda q: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(h, 1 + (q // 4) * 5, 5))::BIGINT >> (15 - 5 * (q % 4))::INTEGER) & 31))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to, url FROM p
+"""
+
+
 def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
 
@@ -189,6 +198,22 @@ def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: All pairs that share a shingle, and what each document reaches.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.doc_id WHERE r.c < b.y)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept FROM s JOIN r USING (doc_id) GROUP BY doc_id, g
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(documents, secret_scan.train(documents))
@@ -214,4 +239,4 @@ QUERIES = {
         op6_decontaminate, op7_minhash_near_duplicates, op8_secret_scan, op9_ftrl_toxicity, op10_mix_to_weights,
     )
 }
-ORACLE = {"op1_chat_prefix_targets": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_decontaminate": OP6_SQL, "op10_mix_to_weights": OP10_SQL}
+ORACLE = {"op1_chat_prefix_targets": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_warc_zip_packages": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_minhash_near_duplicates": OP7_SQL, "op10_mix_to_weights": OP10_SQL}

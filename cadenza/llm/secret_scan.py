@@ -14,7 +14,8 @@ random strings from a seeded generator, identifiers made of about `TRAIN_WORDS`
 seen, that of the stretches on identifiers joined to paths.
 
 Offsets are code points, the end exclusive. Defined cases: null and empty text has no spans; repeated rows each get their
-spans; without any documents the identifiers are a few built-in words; `redact` keeps all other columns.
+spans; without any documents the identifiers are a few built-in words; `redact` keeps all other columns;
+`scan` replaces a column of the name it writes to.
 """
 
 from __future__ import annotations

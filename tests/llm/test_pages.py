@@ -130,12 +130,27 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(kept) == lcs_length(a, b)
         it = iter(b)
         assert all(x in it for x in kept)
+        by_bits = list(page_diff._common_by_bits(a, b))
+        assert len(by_bits) == len(kept) and by_bits == sorted(set(by_bits))
+        it = iter(b)
+        assert all(a[i] in it for i in by_bits)
+
+
+def test_lines_that_repeat_thousands_of_times():
+    rng = random.Random(3)
+    a, b = ([rng.choice(["x", "y"]) for _ in range(20_000)] for _ in range(2))
+    kept = [x for x, s in zip(a, page_diff.shared_lines(a, b)) if s]
+    it = iter(b)
+    assert all(x in it for x in kept) and len(kept) > 16_000
 
 
 def test_lines_and_zones():
     page = '<body><nav>x</nav><div class="cookie-notice">c<div>d</div>e</div><p>hi <b>yo</b> &lt;a&gt;<p>z<script>var a="</p>"</script><article><h1>T</h1><p>A&nbsp;b\n c<br>d<div class=share>s</div><aside>k</aside>u<!-- c --></article>tail<footer>f'
     assert page_diff.lines_of(page) == ["-x", "-c", "-d", "-e", "ohi yo <a>", "oz", "mT", "mA b c d", "-s", "-k", "mu", "otail", "-f"]
-    assert page_diff.main_text(page_diff.lines_of(page), None)[0] == "T A b c d u"
+    assert page_diff.main_text(page_diff.lines_of(page))[0] == "hi yo <a> z T A b c d u tail"
+    assert page_diff.main_text(page_diff.lines_of(page), ["oz", "mT", "otail"])[0] == "hi yo <a> T A b c d u"
+    heading = '<header>s</header><article><header class="entry-header"><h1>T</h1></header><nav>n</nav>b<div class="article-share">x'
+    assert page_diff.lines_of(heading) == ["-s", "mT", "-n", "mb", "-x"]
     assert page_diff.lines_of(None) == page_diff.lines_of("") == []
     assert page_diff.lines_of("a<p>&amp;&copy &am") == ["oa", "o&© &am"]
 
@@ -147,6 +162,50 @@ def test_neighbours_frames_go(spark):
     assert got == {k: f"text number {k}" for k in range(5)} | {9: "Site name Menu of things lone Imprint"}
 
 
+def brute_text(lines, neighbours):
+    """Open lines in no longest common subsequence with the first neighbour that does not share them all go, by the plain table."""
+    for near in neighbours:
+        n, m = len(lines), len(near)
+        t = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if lines[i] == near[j] else max(t[i + 1][j], t[i][j + 1])
+        i = j = 0
+        shared = set()
+        while i < n and j < m:
+            if lines[i] == near[j] and t[i][j] == t[i + 1][j + 1] + 1:
+                shared.add(i)
+                i, j = i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        if any(x[0] == "o" and k not in shared for k, x in enumerate(lines)):
+            return " ".join(x[1:] for k, x in enumerate(lines) if x[0] == "m" or x[0] == "o" and k not in shared)
+    return " ".join(x[1:] for x in lines if x[0] in "mo")
+
+
+def test_the_neighbour_decides_on_open_lines():
+    rng = random.Random(9)
+    for _ in range(200):
+        body = lambda: [rng.choice("om-") + f"own {rng.randrange(10**9)}" for _ in range(rng.randrange(6))]
+        top, foot = ["oSite", "-menu", "oCrumbs"], ["oAbout", "-foot", "oImprint"]
+        pages = [top + body() + foot for _ in range(3)]
+        pages[2] = rng.choice([pages[0], pages[2]])
+        for near in ([], [pages[1]], [pages[2], pages[1]]):
+            text, n_shared, n_deleted = page_diff.main_text(pages[0], *near)
+            assert text == brute_text(pages[0], near)
+        alone, beside = page_diff.main_text(pages[0])[0], page_diff.main_text(pages[0], pages[1])[0]
+        assert alone.startswith("Site") and (beside != alone) == any(x[:4] == "oown" for x in pages[0])
+
+
+def test_body_outside_the_article(spark):
+    page = lambda k: f"<div>Frame</div><article>Teaser {k % 2}</article><div>Body {k}</div><div>End</div>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(4)] + [(7, "http://h.example/3b", page(3))]
+    got = {r["page_id"]: (r["text"], r["n_deleted"]) for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(4)} == {k: (f"Teaser {k % 2} Body {k}", 2) for k in range(4)} and got[7][0] == "Frame Teaser 1 Body 3 End"
+
+
 def test_blocks_do_not_matter(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     rng = random.Random(4)
@@ -159,8 +218,8 @@ def test_blocks_do_not_matter(spark, sf):
     want = {}
     for n, (host, path, k, h) in enumerate(by):
         mates = [by[m] for m in (n - 1, n + 1) if 0 <= m < len(by) and by[m][0] == host]
-        near = max(mates, key=lambda x: page_diff._common("/" + x[1], "/" + path), default=None)
-        want[k] = page_diff.main_text(page_diff.lines_of(h), page_diff.lines_of(near[3]) if near else None)[0]
+        mates.sort(key=lambda x: -page_diff._common("/" + x[1], "/" + path))
+        want[k] = page_diff.main_text(page_diff.lines_of(h), *[page_diff.lines_of(x[3]) for x in mates])[0]
     assert {r[0]: r[2] for r in many} == want
 
 
