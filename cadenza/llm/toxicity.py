@@ -1,13 +1,15 @@
 r"""Toxicity: logistic regression over hashed word n-grams and skip-grams, trained by FTRL-proximal.
 
-Features of a text, each counted once: words, pairs of neighbours, and pairs with one word between them (lower case,
-runs of letters), hashed to `SPACE` coordinates. FTRL-proximal has a rate of its own for each coordinate, and its L1 term
-leaves most weights at zero, so what goes to the executors is the few non-zero ones.
-
-Training takes about `TRAIN_ROWS` labelled rows of each label (those whose id's hash is below a rate; texts of more than
-`TRAIN_CHARS` characters are left out of it). Scores are for whole texts of all rows. Defined cases: null and empty text has no feature
+Features of a text, each counted once: words, pairs of neighbours, and pairs with one word between them, hashed to `SPACE`
+coordinates; all three of words as they are (lower case, runs of letters), and of their stems (the first `STEM` letters),
+so that a form never seen in training still meets its kin. FTRL-proximal has a rate of its own for each coordinate, and its
+L1 term leaves most weights at zero, so what goes to the executors is the few non-zero ones.
+
+Training takes about `TRAIN_ROWS` labelled rows of each label (those whose id's hash is below a rate), and their whole texts.
+Features of fewer than `LEAST_TEXTS` of them are left out on the executors, before anything goes to the driver. Scores are
+for whole texts of all rows. Defined cases: null and empty text has no feature
 and gets the score of the bias; rows with a null id or label are not trained on, and of several labels of an id, 1 counts; without labels all scores are 0; repeated
-rows each get their score; `score` keeps all columns of its input.
+rows each get their score; `score` keeps all columns of its input but one of the name it writes to, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import below_rate
+from .common import below_rate, written
 
 SPACE_BITS = 20
 SPACE = 1 << SPACE_BITS
-TRAIN_ROWS, TRAIN_CHARS = (5_000, 6_000), 50_000  # rows with label 1, with label 0
-ALPHA, BETA, L1, L2, EPOCHS, SEED = 2.0, 1.0, 4.0, 0.0, 4, 11
+TRAIN_ROWS, STEM = (5_000, 6_000), 5  # rows with label 1, with label 0
+ALPHA, BETA, L1, L2, EPOCHS, SEED = 4.0, 1.0, 8.0, 0.0, 6, 11
 #: Features of fewer training texts are left out; every fifth training row sets the bias instead of weights.
 LEAST_TEXTS, CALIBRATE = 3, 5
 VOCABULARY = 1 << 18
@@ -34,20 +36,22 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    """word -> hashes of the word and of its stem, remembered."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) >= VOCABULARY:
             self.clear()
-        self[word] = h = xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = tuple(xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in (word, "~" + word[:STEM]))
         return h
 
 
 def features(text: str | None, hashes: dict) -> np.ndarray:
     """Coordinates of all features, repeats included."""
     words = _WORD.findall(text.lower()) if text else []
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    both = np.array([hashes[w] for w in words], np.uint64).reshape(-1, 2)
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SPACE_BITS)).astype(np.int32)
-    pair = lambda k: (h[:-k] * np.uint64(0x100000001B3) + np.uint64(k)) ^ (h[k:] << np.uint64(17))
-    return np.concatenate([mix(h), mix(pair(1)) if len(h) > 1 else h[:0].astype(np.int32), mix(pair(2)) if len(h) > 2 else h[:0].astype(np.int32)])
+    pair = lambda h, k: (h[:-k] * np.uint64(0x100000001B3) + np.uint64(k)) ^ (h[k:] << np.uint64(17))
+    return np.concatenate([mix(x) for h in (both[:, 0], both[:, 1]) for x in (h, pair(h, 1), pair(h, 2))])
 
 
 class Ftrl:
@@ -97,19 +101,30 @@ def held_out(doc: Column) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Model:
     """Learns from rows that are not held_out; labels has the id and the label."""
-    known = labels.select(F.col(doc).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.max("y").alias("y"))  # of several labels of an id, 1 counts
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().where("y in (0, 1)").collect()}
-    rate = lambda y, n: (F.col("y") == y) & below_rate(F.xxhash64("id"), min(1.0, n / max(counts.get(y, 0), 1)))
+    known = labels.select(F.col(doc).alias("__id"), F.col(label).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out(F.col("__id")))
+    known = known.groupBy("__id").agg(F.max("__y").alias("__y"))  # of several labels of an id, 1 counts
+    counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().where("__y in (0, 1)").collect()}
+    rate = lambda y, n: (F.col("__y") == y) & below_rate(F.xxhash64("__id"), min(1.0, n / max(counts.get(y, 0), 1)))
     known = F.broadcast(known.where(rate(1, rows[0]) | rate(0, rows[1])))  # about `rows` ids, whatever the size
-    texts = documents.join(known, F.col(doc) == F.col("id")).where(F.length(text) <= TRAIN_CHARS).select("id", "y", F.col(text).alias("t"))
+    texts = documents.select(F.col(doc).alias("__id"), F.col(text).alias("__t")).join(known, "__id").select("__id", "__y", "__t")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for b in batches:
-            yield pd.DataFrame({"id": b.id, "y": b.y, "f": [np.unique(features(t, hashes)).astype("<i4").tobytes() for t in b.t]})
+            yield pd.DataFrame({"id": b["__id"], "y": b["__y"], "f": [np.unique(features(t, hashes)) for t in b["__t"]]})
+
+    sets = written(texts.mapInPandas(found, "id long, y int, f array<int>"), "toxic-features")
+    often = sets.select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= LEAST_TEXTS).select("f").toPandas()  # SPACE rows at most
+    mask = np.zeros(SPACE, bool)
+    mask[often["f"].to_numpy(np.int64)] = True
+    mask = np.packbits(mask)
+
+    def pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep = np.unpackbits(mask).view(bool)
+        for b in batches:
+            yield pd.DataFrame({"id": b.id, "y": b.y, "f": [x[keep[x]].astype("<i4").tobytes() for x in b.f]})
 
-    data = texts.mapInPandas(found, "id long, y int, f binary").toPandas().sort_values(["id", "f"], ignore_index=True)
+    data = sets.mapInPandas(pruned, "id long, y int, f binary").toPandas().sort_values(["id", "f"], ignore_index=True)
     sets, y = [np.frombuffer(f, "<i4") for f in data.f], data.y.to_numpy()
     del data
     return fit(sets, y)

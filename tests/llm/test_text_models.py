@@ -277,6 +277,75 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_features_are_words_pairs_and_skips():
     h = toxicity._WordHashes()
-    assert len(toxicity.features("a b c d", h)) == 4 + 3 + 2
+    assert len(toxicity.features("a b c d", h)) == 2 * (4 + 3 + 2)
     assert list(toxicity.features("A, b", h)) == list(toxicity.features("a B", h))
-    assert len(toxicity.features(None, h)) == 0
+    assert len(set(toxicity.features("stupidly", h)) & set(toxicity.features("stupidest", h))) == 1
+    assert len(toxicity.features(None, h)) == len(toxicity.features("", h)) == 0
+    assert len(toxicity.features("one " * 100_000, h)) == 2 * 299_997
+
+
+def test_ftrl_against_the_textbook():
+    """Each coordinate by itself, in plain Python."""
+    rng = random.Random(6)
+    rows = [(sorted(rng.sample(range(12), rng.randrange(1, 6))), rng.randrange(2)) for _ in range(300)]
+    fast, bias = toxicity.Ftrl(0.5, 1.0, 0.3, 0.2), toxicity.SPACE
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == bias else 0.3
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.2)
+
+    for at, label in rows:
+        at = [*at, bias]
+        fast.learn(np.array(at), label)
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in at:
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / 0.5 * w[i]
+            n[i] = old + g * g
+    assert np.allclose(fast.weights(np.array([*range(12), bias])), [weight(i) for i in [*range(12), bias]])
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    rows = [(k, ("vile trash " if k % 2 else "fine day ") * 5, "x", 7, "y") for k in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, id string, y int, score string")
+    labels = spark.createDataFrame([(k, k % 2, "z") for k in range(90)], "doc_id long, toxic int, id string")
+    out = toxicity.score(d, toxicity.train(d, labels))
+    assert out.columns == d.columns and np.mean([r["score"] for r in out.where("doc_id % 2 = 1").collect()]) > 0.5
+    langs = lang_id.predict(d.withColumn("lang_pred", F.lit("old")), None)
+    assert sorted(langs.columns) == sorted([*d.columns, "lang_pred"]) and {r["lang_pred"] for r in langs.collect()} == {"und"}
+
+
+def brute_pool(net, text):
+    """Mean probabilities of the positions, one byte, one gate and one window after the other."""
+    sig, n, total = lambda x: 1 / (1 + np.exp(-x)), net.hidden, np.zeros(len(net.classes))
+    raw = text.encode()
+    for at in range(0, len(raw), lang_id.WINDOW):
+        part = list(raw[at : at + lang_id.WINDOW])
+        size = len(part)
+        part += [lang_id.PAD] * (lang_id.WINDOW - size)
+        states = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h = np.zeros(n)
+            for t in order:
+                w, u = net.p[f"W{d}"][part[t]].astype(float), net.p[f"U{d}"].astype(float)
+                z, r = sig(w[:n] + u[:n] @ h), sig(w[n : 2 * n] + u[n : 2 * n] @ h)
+                c = np.tanh(w[2 * n :] + r * (u[2 * n :] @ h + net.p[f"d{d}"][:, 0]))
+                h = z * h + (1 - z) * c
+                states[d, t] = h
+        for t in range(size):
+            y = net.p["V"] @ np.concatenate([states["f", t], states["b", t]]) + net.p["o"][:, 0]
+            total += np.exp(y) / np.exp(y).sum()
+    return total / len(raw)
+
+
+def test_pooled_probabilities_against_brute_force():
+    net = lang_id.BiGru(["a", "b", "c"], seed=3)
+    texts = ["short", "é" * 40, "a text of more than one window, " * 9, "x" * 64]
+    got = lang_id._pooled(net, texts)
+    for k, t in enumerate(texts):
+        assert np.allclose(got[k], brute_pool(net, t), atol=1e-4)
+    assert np.allclose(got.sum(1), 1, atol=1e-5)
