@@ -43,7 +43,9 @@ from .common import BROADCAST_ROWS, small, written
 from .components import components
 
 COORDS, SEED = 64, 20260101
-SMALL, BLOCK = 16, 1024
+SMALL, BLOCK = 16, 4096
+#: Members of a side that a task compares at a time.
+PART = 1024
 #: Columns of the incidence matrices at a time.
 WIDTH = 4096
 VOCABULARY = 1 << 18  # words whose hashes a worker remembers at a time
@@ -181,33 +183,32 @@ def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _agree(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> np.ndarray:
-    """Which members of one and two are of different components and have signatures that agree in enough places."""
+def _agree(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Part by part, which members of one and two are of different components and have signatures that agree in enough places."""
     sig = lambda g: np.stack(g.sig.to_numpy()).astype(np.int32)
     s, t = sig(one), sig(two)
-    same = np.zeros((len(s), len(t)), np.uint8)
-    for k in range(COORDS):
-        same += s[:, k, None] == t[None, :, k]
-    return (same >= rule.matches) & (one.comp.to_numpy()[:, None] != two.comp.to_numpy()[None, :])
+    x, y = one.comp.to_numpy(), two.comp.to_numpy()
+    for i in range(0, len(s), PART):
+        for j in range(0, len(t), PART):
+            p, q = slice(i, i + PART), slice(j, j + PART)
+            same = np.zeros((len(s[p]), len(t[q])), np.uint8)
+            for k in range(COORDS):
+                same += s[p, k, None] == t[None, q, k]
+            yield p, q, (same >= rule.matches) & (x[p, None] != y[None, q])
 
 
 def _likely(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """The members that agree with one of the other side (that is one, if two is one)."""
-    ok = _agree(one, two, rule)
-    return one[ok.any(1)] if two is one else pd.concat([one[ok.any(1)], two[ok.any(0)]])
+    left, right = np.zeros(len(one), bool), np.zeros(len(two), bool)
+    for p, q, ok in _agree(one, two, rule):
+        left[p] |= ok.any(1)
+        right[q] |= ok.any(0)
+    return one[left] if two is one else pd.concat([one[left], two[right]])
 
 
 def _links(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     """Links (a, b) between members of different components, as many as join what they can join."""
     out: list[tuple[int, int]] = []
-    frame = lambda: pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    ok = _agree(one, two, rule)
-    if not ok.any():
-        return frame()
-    sets = lambda g: [np.frombuffer(x, np.uint64) for x in g.shingles]
-    a, b = sets(one), sets(two)
-    both = _intersections(a, b)
-    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -216,13 +217,19 @@ def _links(one: pd.DataFrame, two: pd.DataFrame, rule: Rule) -> pd.DataFrame:
             x = root[x]
         return x
 
+    a, b = ([np.frombuffer(x, np.uint64) for x in g.shingles] for g in (one, two))
     left, right = one[["cls", "comp"]].to_numpy(), two[["cls", "comp"]].to_numpy()
-    for i, j in zip(*np.nonzero(ok & (100 * both >= rule.percent * union)), strict=True):
-        x, y = find(left[i, 1]), find(right[j, 1])
-        if x != y:
-            root[x] = y
-            out.append((left[i, 0], right[j, 0]))
-    return frame()
+    for p, q, ok in _agree(one, two, rule):
+        if not ok.any():
+            continue
+        both = _intersections(a[p], b[q])
+        union = np.array([len(x) for x in a[p]])[:, None] + np.array([len(x) for x in b[q]])[None, :] - both
+        for i, j in zip(*np.nonzero(ok & (100 * both >= rule.percent * union)), strict=True):
+            x, y = find(left[p][i, 1]), find(right[q][j, 1])
+            if x != y:
+                root[x] = y
+                out.append((left[p][i, 0], right[q][j, 0]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _by_block_pair(f, columns: list[str], rule: Rule):

@@ -70,6 +70,7 @@ def test_five_word_shingles_against_brute_force(spark):
 
 def test_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 5)
+    monkeypatch.setattr(near_dup, "PART", 3)
     monkeypatch.setattr(near_dup, "SMALL", 2)
     monkeypatch.setattr(near_dup, "WIDTH", 50)
     rows = made(3, groups=6, size=25)
