@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parts of a table whose sums are taken before any row is ordered against rows of another part.
 PARTS = 1024
@@ -92,11 +93,17 @@ def length_batches(rows: DataFrame, length: str, index: str, size: int, parts: i
 
     Ranks come from counts of each length (a small table) and a window within one length, cut by ranges of the index.
     """
-    counts = rows.groupBy(length).agg(F.count("*").alias("__n"))
-    base = counts.select(F.col(length).alias("__bylen"), F.coalesce(F.sum("__n").over(W.orderBy(length).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    within = F.row_number().over(W.partitionBy(length).orderBy(index)) - 1
-    rows = rows.withColumn("__within", within).join(base, F.col(length).eqNullSafe(F.col("__bylen")))
-    return rows.withColumn("batch_id", F.floor((F.col("__base") + F.col("__within")) / size).cast("long")).drop("__bylen", "__base", "__within")
+    span = rows.agg(F.min(index).alias("lo"), F.max(index).alias("hi")).first() if isinstance(rows.schema[index].dataType, T.IntegralType) else None
+    part = F.lit(0)  # an index that is no number has no ranges
+    if span is not None and span["lo"] is not None:
+        part = F.floor((F.col(index) - F.lit(span["lo"])) / ((span["hi"] - span["lo"]) // parts + 1)).cast("int")
+    rows = rows.withColumn("__part", part)
+    counts = rows.groupBy(length, "__part").agg(F.count("*").alias("__n"))  # one row per length and range
+    before = F.sum("__n").over(W.orderBy(length, "__part").rowsBetween(W.unboundedPreceding, -1))
+    base = counts.select(F.col(length).alias("__bylen"), F.col("__part").alias("__bypart"), F.coalesce(before, F.lit(0)).alias("__base"))
+    within = F.row_number().over(W.partitionBy(length, "__part").orderBy(index)) - 1
+    rows = rows.withColumn("__within", within).join(base, F.col(length).eqNullSafe(F.col("__bylen")) & (F.col("__part") == F.col("__bypart")))
+    return rows.withColumn("batch_id", F.floor((F.col("__base") + F.col("__within")) / size).cast("long")).drop("__bylen", "__bypart", "__part", "__base", "__within")
 
 
 def grouped_batches(rows: DataFrame, length: str, index: str, size: int, seed: int | str) -> DataFrame:

@@ -54,19 +54,25 @@ def merge_intervals(spans: Column, max_seconds: float = 30.0, max_gap: float = 0
     """Sorted array<struct<start,end>> with neighbours glued while the whole stays within max_seconds and the pause within
     max_gap; then padded on both sides and clamped to 0 and total (the last end plus pad, if not given)."""
     kind = "array<struct<start:double,end:double>>"
-    spans = F.transform(spans, lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
+    span = lambda a, b: F.struct(a.cast("double").alias("start"), b.cast("double").alias("end"))
+    none = F.lit(None).cast("double")
+    closed = lambda acc: F.when(acc["open"]["start"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (F.size(acc) > 0) & (x["end"] - last["start"] <= max_seconds) & (x["start"] - last["end"] <= max_gap)
-        glued = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
-        return F.when(fits, glued).otherwise(F.concat(acc, F.array(x)))
+        last = acc["open"]
+        fits = F.coalesce((x["end"] - last["start"] <= max_seconds) & (x["start"] - last["end"] <= max_gap), F.lit(False))
+        longer = F.struct(acc["done"].alias("done"), span(last["start"], x["end"]).alias("open"))
+        return F.when(fits, longer).otherwise(F.struct(closed(acc).alias("done"), span(x["start"], x["end"]).alias("open")))
 
-    merged = F.aggregate(spans, F.array().cast(kind), step)
+    merged = F.aggregate(spans, F.struct(F.array().cast(kind).alias("done"), span(none, none).alias("open")), step, closed)
     if pad <= 0:
         return merged
-    limit = total if total is not None else F.try_element_at(merged, F.lit(-1))["end"] + pad
-    return F.transform(merged, lambda s: F.struct(F.greatest(F.lit(0.0), s["start"] - pad).alias("start"), F.least(limit, s["end"] + pad).alias("end")))
+
+    def padded(m: Column) -> Column:
+        limit = total if total is not None else F.try_element_at(m, F.lit(-1))["end"] + pad
+        return F.transform(m, lambda s: span(F.greatest(F.lit(0.0), s["start"] - pad), F.least(limit, s["end"] + pad)))
+
+    return F.transform(F.array(merged), padded)[0]  # as a variable, so that the fold runs once
 
 
 def merge_spans(rows: DataFrame, key: str, start: str, end: str, tie: str, **options) -> DataFrame:

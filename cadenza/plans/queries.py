@@ -114,16 +114,16 @@ def legacy_split(spark, sf):
     return splits.cut_channels(_clips(spark, sf))
 
 
-@query("SELECT source AS channel FROM documents WHERE lang = 'es' INTERSECT SELECT source FROM documents WHERE lang = 'fr' AND doc_id % 3 = 0")
+@query("SELECT source AS channel FROM documents WHERE lang = 'es' INTERSECT SELECT source FROM documents WHERE lang = 'fr'")
 def leakage_channels(spark, sf):
     c = _clips(spark, sf)
-    return splits.shared_channels(c.where("source = 'es'"), c.where("source = 'fr' and idx % 3 = 0"))
+    return splits.shared_channels(c.where("source = 'es'"), c.where("source = 'fr'"))
 
 
-@query("SELECT doc_id AS idx FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents t WHERE t.lang = 'es' AND t.doc_id % 7 = 0 AND t.source = d.source)")
+@query("SELECT doc_id AS idx FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents t WHERE t.n_chars / 64.0 > 200 AND t.source = d.source)")
 def unseen_channels(spark, sf):
     c = _clips(spark, sf)
-    return splits.unseen_channels(c, c.where("source = 'es' and idx % 7 = 0")).select("idx")
+    return splits.unseen_channels(c, c.where("duration > 200")).select("idx")
 
 
 @query(f"""WITH {CLIPS}, {SPLIT} SELECT source, split, count(DISTINCT channel) AS channels FROM clips JOIN owners USING (channel) WHERE split = 'test' AND channel <> '' GROUP BY ALL HAVING count(DISTINCT channel) < 5""")
@@ -340,13 +340,13 @@ def row_verdicts(spark, sf):
 
 
 @query(f"""WITH {_pairs_sql('p')}, {_pairs_sql('q', False)}, c AS (SELECT row_number() OVER (ORDER BY p.idx) - 1 AS idx, p.we AS be, p.wn AS bw, q.we AS te, q.wn AS tw FROM p JOIN q USING (idx) WHERE p.wn IS NOT NULL),
-d AS (SELECT rep, (('0x' || substr(md5('42|' || rep || '|' || c.idx), 1, 15))::BIGINT) % (SELECT count(*) FROM c) AS idx FROM range(200) r(rep), c),
+d AS (SELECT rep, (('0x' || substr(md5('42|' || rep || '|' || c.idx), 1, 15))::BIGINT) % (SELECT count(*) FROM c) AS idx FROM range(2000) r(rep), c),
 e AS (SELECT rep, sum(te) / sum(tw) - sum(be) / sum(bw) AS delta FROM d JOIN c USING (idx) GROUP BY rep),
 s AS (SELECT 100 * quantile_cont(delta, 0.025) AS low, 100 * quantile_cont(delta, 0.975) AS high FROM e)
 SELECT (SELECT count(*) FROM c) AS n, (SELECT 100 * (sum(te) / sum(tw) - sum(be) / sum(bw)) FROM c) AS point, low, high, CASE WHEN low < 0 AND high > 0 THEN 'not distinguishable from noise' ELSE 'significant' END AS verdict FROM s""")
 def bootstrap_ci(spark, sf):
     counts = lambda drop: metrics.edit_counts(_pairs(spark, sf, drop), legacy=False)
-    return metrics.bootstrap(metrics.zip_counts(counts(True), counts(False)), 200)
+    return metrics.bootstrap(metrics.zip_counts(counts(True), counts(False)))
 
 
 @query(f"""WITH {_pairs_sql('p')}, d AS (SELECT we / wn AS r, idx % 5 = 0 AS dig FROM p)
@@ -425,10 +425,10 @@ def srt_render(spark, sf):
     return reports.rendered(by, "srt", "conv_id", "result")
 
 
-@query("SELECT vec_id, array_to_string(list_filter(list_transform(range(0, 4), lambda k: list_position(embedding[k * 4 + 1 : k * 4 + 4], list_max(embedding[k * 4 + 1 : k * 4 + 4])) - 1), lambda t: t <> 0), ',') AS tokens FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_filter(list_transform(range(0, len(embedding) // 4), lambda k: list_position(embedding[k * 4 + 1 : k * 4 + 4], list_max(embedding[k * 4 + 1 : k * 4 + 4])) - 1), lambda t: t <> 0), ',') AS tokens FROM embeddings")
 def greedy_tokens(spark, sf):
     e = _table(spark, sf, "embeddings")
-    frames = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 4 + 1, 4))
+    frames = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda k: F.slice("embedding", k * 4 + 1, 4))
     return e.select("vec_id", F.array_join(F.transform(inference.greedy_tokens(frames), lambda t: t.cast("string")), ",").alias("tokens"))
 
 
@@ -451,3 +451,69 @@ def merge_low_rank(spark, sf):
     b = n.select(F.col("n_nationkey").alias("i"), (F.col("n_nationkey") % 3).alias("k"), F.lit(2.0).alias("v"))
     a = n.where("n_nationkey < 5").select((F.col("n_nationkey") % 3).alias("k"), F.col("n_regionkey").alias("j"), F.lit(3.0).alias("v"))
     return inference.merge_low_rank(w, a, b, 32, 16)
+
+
+# More operators by themselves.
+@query(f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM ({SPANS})),
+r AS (SELECT user_id, k, 0 AS seg_no, s, e FROM v WHERE k = 1
+  UNION ALL SELECT v.user_id, v.k, CASE WHEN f THEN seg_no ELSE seg_no + 1 END, CASE WHEN f THEN r.s ELSE v.s END, v.e
+  FROM r JOIN v ON v.user_id = r.user_id AND v.k = r.k + 1, LATERAL (SELECT v.e - r.s <= 86400 AND v.s - r.e <= 14400 AS f)),
+m AS (SELECT user_id, seg_no, min(s) AS s, arg_max(e, k) AS e FROM r GROUP BY user_id, seg_no)
+SELECT user_id, seg_no, greatest(0, s - 0.25::DOUBLE) AS start, least(arg_max(e, seg_no) OVER (PARTITION BY user_id) + 0.25::DOUBLE, e + 0.25::DOUBLE) AS "end" FROM m""")
+def merge_padded(spark, sf):
+    return segments.merge_spans(_spans(spark, sf), "user_id", "start", "end", "event_id", max_seconds=86_400.0, max_gap=14_400.0, pad=0.25)
+
+
+SAID = "['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'][idx % 10 + 1]"
+
+
+@query(f"""WITH {_pairs_sql('p')}, t AS (SELECT list_append(rw, {SAID}) AS rs, list_append(rw, (idx % 10)::VARCHAR) AS rl, list_append(hw, {SAID}) AS h FROM p_y),
+v AS (SELECT *, list_distinct(list_concat(rs, rl, h)) AS v FROM t),
+c AS (SELECT len(rs) AS n, {', '.join(f"levenshtein(array_to_string(list_transform({r}, lambda w: chr(list_position(v, w)::INTEGER)), ''), array_to_string(list_transform(h, lambda w: chr(list_position(v, w)::INTEGER)), '')) AS {e}" for r, e in (('rs', 'spoken'), ('rl', 'shown')))} FROM v)
+SELECT sum(spoken) / sum(n) AS wer, sum(shown) / sum(n) AS wer_legacy, count(*) AS n FROM c""")
+def wer_spoken(spark, sf):
+    """References end with a digit, hypotheses with its word: equal once numbers are spoken, an error in the older form."""
+    said = F.get(F.array(*map(F.lit, text.DIGITS)), (F.col("idx") % 10).cast("int"))
+    p = _pairs(spark, sf).withColumns({"ref": F.concat_ws(" ", "ref", (F.col("idx") % 10).cast("string")), "hyp": F.concat_ws(" ", "hyp", said)})
+    return metrics.error_rates(metrics.edit_counts(p)).select("wer", "wer_legacy", "n")
+
+
+@query("SELECT NOT EXISTS (SELECT source FROM documents WHERE lang = 'es' EXCEPT SELECT source FROM documents WHERE lang = 'fr') AND NOT EXISTS (SELECT source FROM documents WHERE lang = 'fr' EXCEPT SELECT source FROM documents WHERE lang = 'es') AS same")
+def same_channels(spark, sf):
+    c = _clips(spark, sf)
+    same = splits.same_values(c.where("source = 'es'"), c.where("source = 'fr'"), "channel")
+    return spark.range(1).select(F.lit(same).alias("same"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_rows(spark, sf):
+    return splits.missing(_table(spark, sf, "documents").select("doc_id"), _table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT ceil(count(*) / 128)::BIGINT AS steps, count(*) / 9.9 / 3600 AS hours FROM documents")
+def epoch_plan(spark, sf):
+    n = _table(spark, sf, "documents").count()
+    return spark.range(1).select(F.lit(sampling.steps_per_epoch(n, 8, 16)).cast("long").alias("steps"), F.lit(reports.epoch_time(n, 9.9)).alias("hours"))
+
+
+@query("SELECT doc_id, batch_id, md5('7:' || batch_id) AS batch_order FROM (SELECT doc_id, ((row_number() OVER (ORDER BY n_chars, doc_id)) - 1) // 16 AS batch_id FROM documents)")
+def grouped_batches(spark, sf):
+    return sampling.grouped_batches(_table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16, 7).drop("n_chars")
+
+
+@query("SELECT doc_id::VARCHAR AS audio_path, text, n_chars / 64.0 AS duration, source AS channel, CASE WHEN n_chars / 64.0 < 5 THEN '0-5' WHEN n_chars / 64.0 <= 30 THEN '5-30' WHEN n_chars / 64.0 <= 60 THEN '30-60' ELSE '60+' END AS bucket, NULL::VARCHAR AS source FROM documents")
+def fixed_columns(spark, sf):
+    c = _clips(spark, sf).drop("source").withColumns({"audio_path": F.col("idx").cast("string"), "bucket": text.bucket(F.col("duration"))})
+    return clips.as_clips(c)
+
+
+@query("SELECT conv_id, count(*) FILTER (trim(text) <> '') AS n FROM conversations GROUP BY conv_id")
+def drop_empty_texts(spark, sf):
+    by = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"))).alias("spans"), F.collect_list("text").alias("texts"))
+    return by.select("conv_id", F.size(clips.drop_empty(F.col("spans"), F.col("texts"))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, (doc_id % 7 + 0.5) / greatest(n_chars / 64.0, 1e-9) AS rtf FROM documents")
+def real_time_factor(spark, sf):
+    r = F.struct((F.col("doc_id") % 7 + 0.5).alias("elapsed_seconds"), (F.col("n_chars") / 64.0).alias("audio_seconds"))
+    return _table(spark, sf, "documents").withColumn("r", r).select("doc_id", reports.real_time_factor(F.col("r")).alias("rtf"))

@@ -117,3 +117,33 @@ def test_tumbling_stream(spark, sf, tmp_path):
     events.coalesce(1).write.parquet(str(src))
     sessions.write_available(sessions.tumbling(sessions.read_growing(spark, str(src), events.schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.schema("start timestamp, end timestamp, n long").parquet(str(tmp_path / "out")).where("n < 1").isEmpty()
+
+
+def test_predictions_are_read_by_name(spark, tmp_path):
+    import pytest
+
+    from cadenza.schema import PREDICTION
+    from cadenza.sources import readers
+
+    layouts = {
+        "split": "audio_file,audio_path,channel,bucket,duration,ref,hyp\nx.wav,a/x.wav,c,5-30,6.5,xin chao,\n",
+        "corpus": "dataset,audio_path,channel,bucket,duration,ref,hyp\nvivos,a/x.wav,c,5-30,6.5,xin chao,\n",
+        "benchmark": "dataset,duration,ref,hyp\nvivos,6.5,xin chao,\n",
+    }
+    for name, lines in layouts.items():
+        (tmp_path / f"{name}.csv").write_text(lines)
+        r = readers.read_predictions(spark, f"file://{tmp_path}/{name}.csv", PREDICTION).first()
+        assert (r["ref"], r["hyp"], r["duration"]) == ("xin chao", "", 6.5) and list(r.asDict()) == lines.split("\n")[0].split(",")
+    (tmp_path / "bad.csv").write_text("dataset,ref\nvivos,a\n")
+    with pytest.raises(KeyError):
+        readers.read_predictions(spark, f"file://{tmp_path}/bad.csv", PREDICTION)
+
+
+def test_long_arrays_of_spans_merge_once(spark):
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import segments
+
+    spans = F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda k: F.struct((k * 10.0).alias("start"), (k * 10.0 + 2).alias("end")))
+    got = spark.range(1).select(segments.merge_intervals(spans).alias("m")).first()["m"]
+    assert len(got) == 5000 and tuple(got[0]) == (0.0, 2.2) and tuple(got[-1]) == (49_989.8, 49_992.2)
