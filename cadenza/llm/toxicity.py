@@ -27,7 +27,7 @@ from .common import below_rate, written
 
 SPACE_BITS = 20
 SPACE = 1 << SPACE_BITS
-TRAIN_ROWS, STEM = (5_000, 6_000), 5  # rows with label 1, with label 0
+TRAIN_ROWS, STEM = (2_500, 3_500), 5  # rows with label 1, with label 0
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 4.0, 1.0, 8.0, 0.0, 6, 11
 #: Features of fewer training texts are left out; every fifth training row sets the bias instead of weights.
 LEAST_TEXTS, CALIBRATE = 3, 5
