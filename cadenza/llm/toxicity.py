@@ -114,13 +114,15 @@ def train(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: st
             yield pd.DataFrame({"id": b["__id"], "y": b["__y"], "f": [np.unique(features(t, hashes)) for t in b["__t"]]})
 
     sets = written(texts.mapInPandas(found, "id long, y int, f array<int>"), "toxic-features")
-    often = sets.select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= LEAST_TEXTS).select("f").toPandas()  # SPACE rows at most
-    mask = np.zeros(SPACE, bool)
-    mask[often["f"].to_numpy(np.int64)] = True
-    mask = np.packbits(mask)
+    often = sets.select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= LEAST_TEXTS)
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("f") % 32)).alias("bits")
+    often = often.groupBy((F.col("f") / 32).cast("int").alias("at")).agg(bits).collect()  # SPACE / 32 rows at most
+    mask = np.zeros(SPACE // 32, "<u4")
+    for r in often:
+        mask[r["at"]] = r["bits"]
 
     def pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = np.unpackbits(mask).view(bool)
+        keep = np.unpackbits(mask.view(np.uint8), bitorder="little").view(bool)
         for b in batches:
             yield pd.DataFrame({"id": b.id, "y": b.y, "f": [x[keep[x]].astype("<i4").tobytes() for x in b.f]})
 
