@@ -14,10 +14,11 @@ def word_list(text: Column) -> Column:
 def word_edits(ref: str, hyp: str) -> Column:
     """Substitutions, deletions and insertions between the word arrays in columns ref and hyp.
 
-    Each word becomes one character, numbered within the pair (about 35,000 different words at most), and the native
-    character distance does the rest.
+    Each word becomes one character, numbered within the pair, and the native character distance does the rest. Numbers skip the
+    surrogates, so a pair can have a million different words.
     """
-    code = f"array_join(transform({{0}}, w -> decode(unhex(lpad(hex(array_position(array_distinct(concat({ref}, {hyp})), w) + 19968), 4, '0')), 'UTF-16BE')), '')"
+    place = f"array_position(array_distinct(concat({ref}, {hyp})), w)"
+    code = f"array_join(transform({{0}}, w -> decode(unhex(lpad(hex({place} + if({place} <= 35000, 19968, 30536)), 8, '0')), 'UTF-32')), '')"
     return F.expr(f"levenshtein({code.format(ref)}, {code.format(hyp)})").cast("long")
 
 

@@ -74,7 +74,21 @@ def subsample(rows: DataFrame, limit: int | None, seed: int | str, *keys: str) -
 
 
 def fraction(rows: DataFrame, share: float, seed: int | str, *keys: str, least: int = 2) -> DataFrame:
-    return rows.orderBy(seeded(seed, *keys), *keys).limit(max(least, int(rows.count() * share)))
+    """A share of the rows, rounded down (`least` at least): the first by seeded hash of the keys.
+
+    Rows are counted by the first four digits of the hash (at most 65,536 counts). Those below the digits where the share ends are
+    taken by a filter; only rows with these very digits are ordered.
+    """
+    rows = rows.withColumn("__key", seeded(seed, *keys))
+    digits = F.substring("__key", 1, 4)
+    counts = sorted(rows.groupBy(digits.alias("d")).count().collect())
+    rest = max(least, int(sum(n for _, n in counts) * share))
+    for edge, n in counts:
+        if rest <= n:
+            last = rows.where(digits == edge).orderBy("__key", *keys).limit(rest)
+            return rows.where(digits < edge).unionByName(last).drop("__key")
+        rest -= n
+    return rows.drop("__key")
 
 
 def per_stratum(rows: DataFrame, stratum: str, total: int, seed: int | str, *keys: str) -> DataFrame:

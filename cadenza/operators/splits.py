@@ -26,10 +26,18 @@ def hash_split(value: Column, ratios: tuple[float, ...] = HASH_RATIOS) -> Column
 
 
 def _ranked(rows: DataFrame, channel: str, seed: int | str) -> DataFrame:
-    """Channels with their place in a seeded order and their number: one row per channel."""
-    names = rows.select(channel).distinct()
-    order = W.orderBy(seeded(seed, channel), channel)
-    return names.select(channel, F.row_number().over(order).alias("place"), F.count("*").over(W.partitionBy()).alias("n"))
+    """Channels with their place in a seeded order and their number: one row per channel.
+
+    The order is that of a hash, so channels are cut by its first digits: counts of the parts are added up (at most 4096 rows), and
+    a window runs within a part. No task ranks all channels.
+    """
+    names = rows.select(channel).distinct().withColumn("__key", seeded(seed, channel)).withColumn("__part", F.substring("__key", 1, 3))
+    counts = names.groupBy("__part").agg(F.count("*").alias("__n"))
+    upto = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", upto.alias("__base"), F.sum("__n").over(W.partitionBy()).alias("n"))
+    within = F.row_number().over(W.partitionBy("__part").orderBy("__key", channel))
+    placed = names.withColumn("__within", within).join(F.broadcast(counts), "__part")
+    return placed.select(channel, (F.col("__base") + F.col("__within")).alias("place"), "n")
 
 
 def allocate_channels(rows: DataFrame, channel: str = "channel", seed: int | str = 42, ratios: tuple[float, ...] = CHANNEL_RATIOS) -> DataFrame:

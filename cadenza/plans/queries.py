@@ -478,6 +478,29 @@ def wer_spoken(spark, sf):
     return metrics.error_rates(metrics.edit_counts(p)).select("wer", "wer_legacy", "n")
 
 
+def _said(n: str) -> str:
+    return f"CASE WHEN {n} = 0 THEN 'không' ELSE {THREE.format(g=f'({n})', full='false')} END"
+
+
+UNIT_NAMES = ("%", "kg", "km", "cm", "mm", "ml", "gr", "g", "m", "l")
+UNIT_SAID = ("phần trăm", "ki lô gam", "ki lô mét", "xăng ti mét", "mi li mét", "mi li lít", "gram", "gram", "mét", "lít")
+HUNDREDS = f"{WORDS}[r // 100 + 1] || ' trăm' || CASE WHEN r % 100 = 0 THEN '' WHEN r // 10 % 10 = 0 THEN ' lẻ ' || {WORDS}[r % 10 + 1] WHEN r // 10 % 10 = 1 THEN ' mười' ELSE ' ' || {WORDS}[r // 10 % 10 + 1] || ' mươi' END || CASE WHEN r % 10 > 0 AND r // 10 % 10 > 0 THEN ' ' || {WORDS}[r % 10 + 1] ELSE '' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, doc_id % 24 AS h, doc_id * 7 % 60 AS m, doc_id * 31 % 1000 AS n, doc_id * 13 % 99 + 1 AS k, doc_id * 17 % 1000 AS r, doc_id % 10 AS d, doc_id % 10 + 1 AS u FROM documents)
+SELECT doc_id, 'lúc ' || {_said('h')} || ' giờ ' || {_said('m')} || ' giá ' || {_said('n')} || ' phẩy ' || {WORDS}[d + 1] || ' ' || {WORDS}[r % 10 + 1] || ' nặng ' || {_said('n')} || ' ' || {list(UNIT_SAID)}[u] || ' tổng '
+  || {_said('k')} || ' nghìn' || CASE WHEN r > 0 THEN ' ' || {HUNDREDS} ELSE '' END || ' nghìn lẻ bốn' AS spoken FROM t""")
+def normalize_spoken(spark, sf):
+    """Clock times, decimals, units, points of thousands and variants, spoken."""
+    d = _table(spark, sf, "documents")
+    n = lambda c: c.cast("string")
+    i = F.col("doc_id")
+    unit = F.get(F.array(*map(F.lit, UNIT_NAMES)), (i % 10).cast("int"))
+    shown = F.concat(F.lit("Lúc "), n(i % 24), F.lit("h"), n(i * 7 % 60), F.lit(", GIÁ "), n(i * 31 % 1000), F.lit(","), n(i % 10), n(i * 17 % 10), F.lit("; nặng "), n(i * 31 % 1000), F.lit(" "), unit,
+                     F.lit(" (tổng "), n(i * 13 % 99 + 1), F.lit("."), F.lpad(n(i * 17 % 1000), 3, "0"), F.lit(") ngàn linh TƯ!"))
+    return d.select("doc_id", text.normalize(shown).alias("spoken"))
+
+
 @query("SELECT NOT EXISTS (SELECT source FROM documents WHERE lang = 'es' EXCEPT SELECT source FROM documents WHERE lang = 'fr') AND NOT EXISTS (SELECT source FROM documents WHERE lang = 'fr' EXCEPT SELECT source FROM documents WHERE lang = 'es') AS same")
 def same_channels(spark, sf):
     c = _clips(spark, sf)

@@ -31,7 +31,8 @@ STATE = "seg_no long, start double, end double, n long"
 
 def merged_spans(spans: DataFrame, max_seconds: float = 30.0, max_gap: float = 0.8) -> DataFrame:
     """Interval merging with state: spans (channel, start, end), in order within a channel, to merged segments. A segment goes out
-    once a span of its channel does not fit it; the last one of a channel stays in the state until then."""
+    once a span of its channel does not fit it, or when the channel ends: a row with a null start marks that, after all spans of its
+    batch (`end_of` makes such rows). An ended channel leaves no state."""
 
     def step(key, batches, state):
         import pandas as pd
@@ -39,19 +40,31 @@ def merged_spans(spans: DataFrame, max_seconds: float = 30.0, max_gap: float = 0
         out = []
         now = list(state.get) if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["start", "end"])
-        for s, e in zip(rows["start"], rows["end"], strict=True):
+        spans = rows[rows["start"].notna()]
+        for s, e in zip(spans["start"], spans["end"], strict=True):
             if now and e - now[1] <= max_seconds and s - now[2] <= max_gap:
                 now = [now[0], now[1], e, now[3] + 1]
             else:
                 if now:
                     out.append((key[0], *now))
                 now = [now[0] + 1 if now else 0, s, e, 1]
-        state.update(tuple(now))
+        if len(spans) < len(rows):
+            if now:
+                out.append((key[0], *now))
+            if state.exists:
+                state.remove()
+        elif now:
+            state.update(tuple(now))
         yield pd.DataFrame(out, columns=["channel", "seg_no", "start", "end", "n"])
 
     return spans.groupBy("channel").applyInPandasWithState(step, SEGMENT, STATE, "append", "NoTimeout")
 
 
+def end_of(channels: DataFrame) -> DataFrame:
+    """Rows that end channels for merged_spans: (channel, start, end), without times."""
+    return channels.select("channel", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end")).distinct()
+
+
 def write_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Takes what is there, once, and remembers it: a later call goes on from that point."""
     query = rows.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

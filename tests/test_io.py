@@ -30,6 +30,16 @@ def test_shards(spark, tmp_path):
     root = str(tmp_path)
     assert readers.read_shards(spark, root, "train").count() == 20
     assert readers.read_shards(spark, root, "train", 5, seed=1).collect() == readers.read_shards(spark, root, "train", 5, seed=1).collect()
+    seeded = lambda: readers.read_shards(spark, root, "train", seed=1)
+    before = [r["id"] for r in seeded().collect()]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        assert [r["id"] for r in seeded().collect()] == before and before != sorted(before)
+        assert [r["id"] for r in readers.read_shards(spark, root, "train", 7).collect()] == list(range(7))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert readers.read_shards(spark, root, "train", 0).count() == 0
     assert readers.reachable(lambda: spark.read.parquet(f"{root}/nosuch"))[0] is False
     assert readers.reachable(lambda: spark.range(1)) == (True, "ok")
 
@@ -111,6 +121,22 @@ def test_spans_stream(spark, tmp_path):
     assert got == [(0.0, 9.0, 2), (40.0, 41.0, 1)]
 
 
+def test_ended_channels_leave_the_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spans = spark.createDataFrame([("c", 0.0, 2.0), ("c", 2.5, 9.0), ("c", 40.0, 41.0), ("d", 1.0, 2.0)], "channel string, start double, end double")
+    spans.coalesce(1).write.parquet(src)
+    run = lambda: sessions.write_available(sessions.merged_spans(sessions.read_growing(spark, src, spans.schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    found = lambda: sorted((r["channel"], r["seg_no"], r["start"], r["end"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    run()
+    assert found() == [("c", 0, 0.0, 9.0)]
+    sessions.end_of(spans).coalesce(1).write.mode("append").parquet(src)
+    run()
+    assert found() == [("c", 0, 0.0, 9.0), ("c", 1, 40.0, 41.0), ("d", 0, 1.0, 2.0)]
+    spans.where("channel = 'd'").unionByName(sessions.end_of(spans.where("channel = 'd'"))).coalesce(1).write.mode("append").parquet(src)
+    run()
+    assert found()[-2:] == [("d", 0, 1.0, 2.0)] * 2
+
+
 def test_tumbling_stream(spark, sf, tmp_path):
     src = tmp_path / "in"
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

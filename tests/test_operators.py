@@ -71,7 +71,9 @@ def test_batches_and_samples(spark):
     assert sampling.subsample(many, 10, 7, "id").collect() == sampling.subsample(many.repartition(9), 10, 7, "id").collect()
     assert sampling.subsample(many, 2000, 7, "id").count() == 1000
     assert [r["count"] for r in sampling.per_stratum(many, "s", 31, 7, "id").groupBy("s").count().collect()] == [10] * 3
-    assert sampling.fraction(many, 0.05, 1, "id").count() == 50 and sampling.steps_per_epoch(100, 8, 4) == 4
+    taken = [r["id"] for r in sampling.fraction(many, 0.05, 1, "id").collect()]
+    assert sorted(taken) == sorted(r["id"] for r in many.orderBy(sampling.seeded(1, "id")).limit(50).collect())
+    assert sampling.fraction(many, 1.0, 1, "id").count() == 1000 and sampling.fraction(many.limit(0), 0.5, 1, "id").count() == 0 and sampling.steps_per_epoch(100, 8, 4) == 4
     t = [r["t"] for r in many.select(sampling.target_duration(F.col("id").cast("string")).alias("t")).collect()]
     assert all(5 <= x < 60 for x in t) and 0.1 < np.mean([x >= 30 for x in t]) < 0.2
 
