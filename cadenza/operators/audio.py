@@ -113,7 +113,7 @@ def speech_spans(samples: np.ndarray, rate: int = SAMPLE_RATE, level: float = 0.
     return [(float(s), float(min(e, total))) for s, e in out if e - s >= min_speech]
 
 
-def read_audio(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_audio(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """(path, content) of audio files, undecoded."""
     return spark.read.format("binaryFile").options(**options).load(path).select("path", "content")
 

@@ -6,6 +6,7 @@ weights come with this package.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,36 +19,47 @@ from .sampling import length_batches
 Transcriber = Callable[[], Callable[[list[np.ndarray]], list[str]]]
 
 
-def transcribe(rows: DataFrame, factory: Transcriber, index: str = "idx", samples: str = "samples", size: int = 8, to: str = "hyp") -> DataFrame:
-    """rows with hypotheses. Batches are by length, so that little is padded; results keep their row, whatever the order."""
-    batched = length_batches(rows.withColumn("__len", F.size(samples)), "__len", index, size)
+def transcribe(rows: DataFrame, factory: Transcriber, index: str = "idx", samples: str = "samples", size: int = 8, to: str = "hyp", seconds: str | None = None) -> DataFrame:
+    """rows with hypotheses. Batches are by length, so that little is padded; results keep their row, whatever the order. With
+    `seconds`, that column has the row's share (by samples) of the time that its batch took in the worker.
+
+    Batches are planned on index and length alone; samples are shuffled once, to their batch. The index is unique and not null."""
+    plan = length_batches(rows.select(index, F.size(samples).alias("__len")), "__len", index, size).drop("__len")
+    batched = rows.join(plan, index)
     batched = batched.repartition("batch_id").sortWithinPartitions("batch_id", index)
     kept = [f for f in rows.schema.fields if f.name != samples]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{to}` string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{to}` string"] + [f"`{seconds}` double"] * bool(seconds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for b in batches:
             for _, g in b.groupby("batch_id", sort=False):
+                began = time.perf_counter()
                 texts = model([np.asarray(x, np.float32) for x in g[samples]])
-                yield g[[f.name for f in kept]].assign(**{to: list(texts)})
+                out = g[[f.name for f in kept]].assign(**{to: list(texts)})
+                if seconds:
+                    took, sizes = time.perf_counter() - began, g[samples].map(len).to_numpy(float)
+                    out[seconds] = took * sizes / sizes.sum() if sizes.sum() else took / len(g)
+                yield out
 
     return batched.mapInPandas(run, schema)
 
 
 def transcribe_spans(rows: DataFrame, factory: Transcriber, key: str = "file", samples: str = "samples", spans: str = "spans", size: int = 4, rate: int = 16_000) -> DataFrame:
-    """(key, text, segments): each span of each row decoded, empty ones dropped, the rest joined in order."""
+    """(key, text, segments, elapsed_seconds): each span of each row decoded, empty ones dropped, the rest joined in order;
+    elapsed_seconds is the decoding time of all its spans. Keys are unique."""
     from .segments import slice_samples
 
     each = rows.select(F.col(key).alias("key"), samples, F.posexplode(spans).alias("no", "s"))
     each = each.select("key", "no", "s", slice_samples(F.col(samples), F.col("s.start"), F.col("s.end"), rate).alias("samples"))
     each = each.withColumn("idx", F.struct("key", "no"))
-    said = transcribe(each, factory, "idx", "samples", size, "text").where(F.trim("text") != "")
+    said = transcribe(each, factory, "idx", "samples", size, "text", "seconds")
     segment = F.struct("no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "text")
-    out = said.groupBy("key").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
-    out = out.select("key", F.array_join(F.transform("segments", lambda x: x["text"]), " ").alias("text"), F.transform("segments", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("segments"))
+    full = F.when(F.trim("text") != "", segment)  # collect_list leaves nulls out
+    out = said.groupBy("key").agg(F.array_sort(F.collect_list(full)).alias("segments"), F.sum("seconds").alias("elapsed_seconds"))
+    out = out.select("key", "elapsed_seconds", F.array_join(F.transform("segments", lambda x: x["text"]), " ").alias("text"), F.transform("segments", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("segments"))
     none = rows.select(F.col(key).alias("key")).join(out, "key", "left")
-    return none.select(F.col("key").alias(key), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("segments", F.array().cast("array<struct<start:double,end:double,text:string>>")).alias("segments"))
+    return none.select(F.col("key").alias(key), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("segments", F.array().cast("array<struct<start:double,end:double,text:string>>")).alias("segments"), F.coalesce("elapsed_seconds", F.lit(0.0)).alias("elapsed_seconds"))
 
 
 def greedy_tokens(logits: Column, blank: int = 0) -> Column:

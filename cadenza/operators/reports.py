@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +71,16 @@ def rendered(rows: DataFrame, form: str = "text", file: str = "file", result: st
     return rows.select(file, forms[form]().alias("rendered"))
 
 
-def joined_files(rows: DataFrame) -> DataFrame:
-    """One row: the rendered files in order of name, with a heading each if there are several."""
-    parts = F.array_sort(F.collect_list(F.struct("file", "rendered")))
-    many = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("=== "), p["file"], F.lit(" ===\n"), p["rendered"])), "\n\n")
-    return rows.agg(F.when(F.count("*") > 1, many).otherwise(F.first("rendered")).alias("rendered"))
+def joined_files(rows: DataFrame) -> Iterator[str]:
+    """The rendered files in order of name, with a heading each if there are several; the driver holds one partition at a time."""
+    several = rows.limit(2).count() > 1
+    for r in rows.orderBy("file").toLocalIterator():
+        yield f"=== {r['file']} ===\n{r['rendered']}\n" if several else r["rendered"]
 
 
-def metric_lines(name: str, overall: dict, by_bucket: dict | None = None) -> list[str]:
-    """Lines of a metrics report."""
-    out = [name, f"  overall : WER {overall['wer']:.4f}  CER {overall['cer']:.4f}  (n={overall['n']})"]
-    if "wer_legacy" in overall:
-        out.append(f"  legacy  : WER {overall['wer_legacy']:.4f}  CER {overall['cer_legacy']:.4f}   (no number expansion)")
-    return out + [f"  {b:<7}: WER {m['wer']:.4f}  CER {m['cer']:.4f}  (n={m['n']})" for b, m in (by_bucket or {}).items()]
+def metrics_table(metrics: DataFrame) -> DataFrame:
+    """(level, n, wer, cer, legacy) of metrics by level, the overall row first: percent with two places, a dash for what is missing;
+    legacy is the older form's word and character rates."""
+    shown = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.2f %%", 100 * F.col(c)))
+    old = F.concat_ws(" / ", shown("wer_legacy"), shown("cer_legacy"))
+    return metrics.orderBy(F.col("level") != "overall", "level").select("level", "n", shown("wer").alias("wer"), shown("cer").alias("cer"), old.alias("legacy"))

@@ -6,7 +6,6 @@ import argparse
 import importlib
 import json
 import sys
-import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +30,17 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     m = overall.first().asDict()
     buckets = {r["bucket"]: {k: v for k, v in r.asDict().items() if k != "bucket"} for r in by.collect()}
     sinks.write_metrics(spark, a.out, m, buckets)
-    print("\n".join(reports.metric_lines(a.data, m, buckets)))
+    print(a.data)
+    reports.metrics_table(readers.read_metrics(spark, a.out)).show(truncate=False)
 
 
 def report(spark: SparkSession, a: argparse.Namespace) -> None:
     """Worst and best rows, style and digit figures of a predictions CSV, against another one if given."""
-    rows = readers.read_predictions(spark, a.csv, SCHEMA).withColumn("idx", F.xxhash64("audio_file"))
-    other = readers.read_predictions(spark, a.other, SCHEMA) if a.other else None
+    # A CSV with line breaks in its fields is never split, so this follows the order of its lines.
+    read = lambda path: readers.read_predictions(spark, path, SCHEMA).withColumn("idx", F.monotonically_increasing_id())
+    rows, other = read(a.csv), read(a.other) if a.other else None
+    if a.row is not None:
+        rows.where(F.col("idx") == a.row).show(1, truncate=False, vertical=True)
     for name, df in build.report(rows, other, a.n).items():
         print(f"--- {name} ---")
         df.show(a.n, truncate=False)
@@ -48,21 +51,28 @@ def report(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def transcribe(spark: SparkSession, a: argparse.Namespace) -> None:
     """Audio files to text, segments, subtitles or JSON."""
-    began = time.time()
+    if a.punct and a.lower:
+        sys.exit("--lower would undo the capitals of --punct")
+    if a.out and len(a.audio) > 1:
+        sys.exit("--out takes one input")
     rows = audio.decoded(audio.read_audio(spark, a.audio)).withColumnRenamed("path", "file")
     rows = rows if a.no_vad else audio.with_speech(rows)
     spans = segments.segment_spans(F.col("duration"), None if a.no_vad else F.col("speech"), a.max_seconds, a.chunk_seconds)
     rows = rows.withColumn("spans", spans)
     said = inference.transcribe_spans(rows, _factory(a.model), size=a.batch_size)
     if a.lower:
-        said = said.select("file", F.lower("text").alias("text"), F.transform("segments", lambda s: s.withField("text", F.lower(s["text"]))).alias("segments"))
+        said = said.withColumns({"text": F.lower("text"), "segments": F.transform("segments", lambda s: s.withField("text", F.lower(s["text"])))})
+    if a.punct:
+        said = inference.punctuated(said, _factory(a.punct))
     said = said.join(rows.select("file", "duration"), "file")
-    result = F.struct("text", "segments", F.col("duration").alias("audio_seconds"), F.lit(time.time() - began).alias("elapsed_seconds")).cast(RESULT)
-    shown = reports.joined_files(reports.rendered(said.withColumn("result", result), a.format)).first()[0]
+    result = F.struct("text", "segments", F.col("duration").alias("audio_seconds"), "elapsed_seconds").cast(RESULT)
+    # Written once, so that counting, ordering and printing do not decode again.
+    shown = sinks.kept(reports.rendered(said.withColumn("result", result), a.format))
     if a.out:
-        sinks.put_text(spark, a.out, shown or "")
+        sinks.put_text(spark, a.out, "\n".join(reports.joined_files(shown)))
     else:
-        print(shown)
+        for text in reports.joined_files(shown):
+            print(text)
 
 
 def build_corpus(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -86,9 +96,9 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(*names, **kw)
 
     command(score, (["--data"], {"required": True}), (["--out"], {"required": True}))
-    command(report, (["--csv"], {"required": True}), (["--other"], {}), (["--metrics"], {}), (["--other-metrics"], {}), (["--n"], {"type": int, "default": 5}))
+    command(report, (["--csv"], {"required": True}), (["--other"], {}), (["--metrics"], {}), (["--other-metrics"], {}), (["--n"], {"type": int, "default": 5}), (["--row"], {"type": int, "help": "shows this row of the CSV, from 0"}))
     command(
-        transcribe, (["audio"], {}), (["--model"], {"required": True, "help": "module:factory"}), (["--format"], {"choices": ["text", "segments", "srt", "json"], "default": "text"}),
+        transcribe, (["audio"], {"nargs": "+"}), (["--punct"], {"metavar": "FACTORY", "help": "module:factory of a model that restores punctuation"}), (["--model"], {"required": True, "help": "module:factory"}), (["--format"], {"choices": ["text", "segments", "srt", "json"], "default": "text"}),
         (["--out"], {}), (["--no-vad"], {"action": "store_true"}), (["--lower"], {"action": "store_true"}), (["--max-seconds"], {"type": float, "default": 25.0}),
         (["--chunk-seconds"], {"type": float, "default": 60.0}), (["--batch-size"], {"type": int, "default": 4}),
     )

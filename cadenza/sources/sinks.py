@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,18 +11,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.audio import encode_wav
+from ..operators.splits import check_splits
 from ..schema import FILES_PER_DIR, SAMPLE_RATE
 
 STAMP = "_STAMP.json"
 
 
 def write_splits(rows: DataFrame, base: str, version: int, hours: float | None = None, mode: str = "overwrite") -> None:
-    """rows (with split) as Parquet by split; the stamp is written last, so a build that broke off has none."""
+    """rows (with split) as Parquet by split; the stamp is written last, so a build that broke off or has an empty split (an error)
+    has none."""
     spark = rows.sparkSession
     remove(spark, f"{base}/{STAMP}")
     rows.write.mode(mode).partitionBy("split").parquet(base)
+    check_splits(spark.read.parquet(base))
     put_text(spark, f"{base}/{STAMP}", json.dumps({"version": version, "hours": hours_tag(hours)}))
 
 
@@ -88,15 +93,35 @@ def write_metrics(spark: SparkSession, path: str, overall: dict, by_bucket: dict
     put_text(spark, path, json.dumps({"overall": overall, "by_bucket": by_bucket or {}}, ensure_ascii=False))
 
 
-def audio_path(name: str = "clip", index: str = "idx"):
-    """Column: <name>/<5 digits of index / 1000>/<name>_<7 digits>.wav"""
-    return F.format_string(f"%05d/{name}_%07d.wav", F.floor(F.col(index) / FILES_PER_DIR).cast("long"), F.col(index))
+def write_named_metrics(spark: SparkSession, path: str, metrics: DataFrame, key: str = "dataset") -> None:
+    """The flat form, {name: metrics}, of one row per benchmark."""
+    found = {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in metrics.orderBy(key).toLocalIterator()}
+    put_text(spark, path, json.dumps(found, ensure_ascii=False, indent=2))
 
 
-def write_wavs(rows: DataFrame, folder: str, name: str = "clip", index: str = "idx", samples: str = "samples", rate: int = SAMPLE_RATE) -> DataFrame:
-    """Writes a WAV per row below folder (a URI that executors share); (index, audio_path), lazily: count or write it once.
-    Files are named by index, so a task that runs again writes the same ones."""
-    rows = rows.select(index, samples, audio_path(name, index).alias("audio_path"))
+def kept(rows: DataFrame) -> DataFrame:
+    """rows written to the folder that the cluster names in spark.checkpoint.dir, and read again; on one machine a folder of its own."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
+        folder = tempfile.mkdtemp()
+    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def audio_path(name: str = "clip", index: str = "idx", digits: int = 7):
+    """Column: <5 digits of index / 1000>/<name>_<digits of index>.wav"""
+    return F.format_string(f"%05d/{name}_%0{digits}d.wav", F.floor(F.col(index) / FILES_PER_DIR).cast("long"), F.col(index))
+
+
+def write_wavs(rows: DataFrame, folder: str, name: str = "clip", index: str = "idx", samples: str = "samples", rate: int = SAMPLE_RATE, digits: int = 7) -> DataFrame:
+    """Writes a WAV per row below folder (a URI that executors share); rows with audio_path (below folder) in place of samples,
+    lazily: count or write it once. Files are named by index, so a task that runs again writes the same ones."""
+    rows = rows.withColumn("audio_path", audio_path(name, index, digits))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != samples])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
@@ -109,6 +134,6 @@ def write_wavs(rows: DataFrame, folder: str, name: str = "clip", index: str = "i
                 with fs.open_output_stream(beside, compression=None) as out:
                     out.write(encode_wav(np.asarray(x, np.float32), rate))
                 fs.move(beside, f"{root}/{path}")
-            yield b[[index, "audio_path"]]
+            yield b[schema.names]
 
-    return rows.mapInPandas(run, f"{index} long, audio_path string")
+    return rows.mapInPandas(run, schema)

@@ -66,6 +66,9 @@ def test_metrics_files(spark, tmp_path):
     assert {r["level"]: r["n"] for r in readers.read_metrics(spark, path).collect()} == {"overall": 7, "0-5": 7}
     sinks.put_text(spark, path, json.dumps({"vivos": m, "x": m}))
     assert [r["level"] for r in readers.read_metrics(spark, path, "vivos").collect()] == ["overall"]
+    sinks.write_named_metrics(spark, path, spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 4)], "dataset string, wer double, n long"))
+    assert json.loads(sinks.get_text(spark, path)) == {"a": {"wer": 0.5, "n": 2}, "b": {"wer": 0.25, "n": 4}}
+    assert readers.read_metrics(spark, path, "b").first()["n"] == 4
     assert readers.read_metrics(spark, path, "nosuch") is None and readers.read_metrics(spark, path + "x") is None
 
 
@@ -90,7 +93,9 @@ def test_stamps(spark, tmp_path):
 
 def test_wavs(spark, tmp_path):
     rows = spark.createDataFrame([(k, [0.1 * (k % 3)] * 10) for k in (0, 999, 1000)], "idx long, samples array<float>")
-    got = sorted(r["audio_path"] for r in sinks.write_wavs(rows, f"file://{tmp_path}", "v").collect())
+    written = sinks.write_wavs(rows.withColumn("text", F.lit("t")), f"file://{tmp_path}", "v")
+    assert written.columns == ["idx", "text", "audio_path"]
+    got = sorted(r["audio_path"] for r in written.collect())
     assert got == ["00000/v_0000000.wav", "00000/v_0000999.wav", "00001/v_0001000.wav"]
     x, rate = decode_wav((tmp_path / got[2]).read_bytes())
     assert rate == 16_000 and np.allclose(x, 0.1, atol=1e-3)

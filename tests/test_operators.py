@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import audio, clips, inference, metrics, reports, sampling, segments, splits
+from cadenza.operators.audio import decode_wav
 from cadenza.plans import build
+from cadenza.schema import CLIP_COLUMNS
+from cadenza.sources import sinks
 from cadenza.sources.readers import Corpus, benchmark_registry
 
 
@@ -158,9 +161,10 @@ def test_reports(spark):
     assert shown["srt"].startswith("1\n00:00:00,000 --> 00:00:01,500\nxin\n\n2\n")
     assert '"rtf":0.1' in shown["json"] and "chào" in shown["json"]
     both = reports.rendered(r, "text").union(reports.rendered(r, "text").withColumn("file", F.lit("a")))
-    assert reports.joined_files(both).first()[0] == "=== a ===\nxin chào\n\n=== f ===\nxin chào"
+    assert list(reports.joined_files(both)) == ["=== a ===\nxin chào\n", "=== f ===\nxin chào\n"] and list(reports.joined_files(both.where("file = 'a'"))) == ["xin chào"]
     assert reports.by_source(spark.createDataFrame([], "source string, duration double")).count() == 0
-    assert reports.metric_lines("A", {"wer": 0.1, "cer": 0.05, "n": 3})[1] == "  overall : WER 0.1000  CER 0.0500  (n=3)"
+    levels = spark.createDataFrame([("5-30", 3, 0.1, 0.05, None, None), ("overall", 4, 0.25, None, 0.3, 0.2)], "level string, n long, wer double, cer double, wer_legacy double, cer_legacy double")
+    assert list(map(tuple, reports.metrics_table(levels).collect())) == [("overall", 4, "25.00 %", "-", "30.00 % / 20.00 %"), ("5-30", 3, "10.00 %", "5.00 %", "- / -")]
 
 
 def test_keeps(spark):
@@ -188,6 +192,26 @@ def test_corpus_build(spark, tmp_path):
     assert done == {"ok": 1} and set(failed) == {"bad", "wrong"}
 
 
+def test_builds_write_audio_that_opens(spark, tmp_path):
+    def opens(rows):
+        rates = [decode_wav(open(r["audio_path"], "rb").read()) for r in rows.collect()]
+        return all(rate == 16_000 for _, rate in rates) and sorted(len(x) / 16_000 for x, _ in rates) == sorted(r["duration"] for r in rows.collect())
+
+    data = [(k, f"câu {k}", 99.0, f"r{k % 6}_{k}.wav", f"c{k % 6}") for k in range(72)]
+    rows = spark.createDataFrame(data, "idx long, text string, duration double, path string, channel string")
+    rows = rows.withColumn("samples", F.array_repeat(F.lit(0.25).cast("float"), ((F.col("idx") % 3 + 4) * 8000).cast("int")))
+    got = build.prepare_corpus(spark, lambda: rows, Corpus(channel_from_path=True), str(tmp_path / "c"), source="clip")
+    assert got.count() == 72 and opens(got)
+    m = build.build_mixture(spark, str(tmp_path / "m"), {"a": rows, "b": rows.withColumn("path", F.lit("x"))}, {}, {"b"}, {"a": rows})
+    assert m.count() == 216 and opens(m) and set(CLIP_COLUMNS) < set(m.columns) and m.select("audio_path").distinct().count() == 216
+    held = spark.read.parquet(str(tmp_path / "m_test/b"))
+    assert sorted(r["text"] for r in held.collect()) == sorted(r["text"] for r in m.where("source = 'b' and split = 'test'").collect())
+    d = build.native_dataset(rows, None, base=str(tmp_path / "n"))
+    written = sinks.kept(d)
+    assert opens(written) and written.where("duration < 5 or duration > 60").isEmpty() and written.count() == written.select("audio_path").distinct().count() > 5
+    assert all(r["audio_path"].startswith(f"{tmp_path}/n_audio/00000/seg_00") for r in written.collect())
+
+
 def test_mixture_and_native_dataset(spark):
     rows = spark.createDataFrame([(k, f"câu {k}", 10.0, f"x_{k}.5_{k + 9}.wav") for k in range(300)], "idx long, text string, duration double, path string")
     m = build.prepare_mixture({"a": rows, "b": rows}, {"a": 0.1}, {"b"}, {"a": rows})
@@ -227,6 +251,7 @@ def test_inference(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0.0, 1.0), (1.0, 2.0))])
     r = spark.createDataFrame([("f", [1.0, 1.0, 2.0, 2.0]), ("g", [])], "file string, samples array<float>").withColumn("spans", F.when(F.col("file") == "f", spans).otherwise(F.slice(spans, 1, 0)))
     out = {x["file"]: x for x in inference.transcribe_spans(r, factory, rate=2).collect()}
+    assert out["f"]["elapsed_seconds"] >= 0 and out["g"]["elapsed_seconds"] == 0.0
     assert out["f"]["text"] == "1:2 2:2" and len(out["f"]["segments"]) == 2 and out["g"]["text"] == ""
     assert inference.greedy_search(np.array([[0, 1, 0], [1, 0, 0], [0, 0, 1]]), lambda s: s, lambda f, s: f) == [1, 2]
     p = spark.createDataFrame([(0, "XIN CHÀO"), (1, " "), (2, None)], "k int, text string")
