@@ -12,7 +12,7 @@ from ..functions import text
 from ..operators import clips, metrics, reports, sampling, segments, splits
 from ..schema import CLIP_COLUMNS, SAMPLE_RATE
 from ..sources import sinks
-from ..sources.readers import Corpus
+from ..sources.readers import Corpus, reachable
 
 VERSION = 3
 VALIDATION_HOURS = 0.5
@@ -58,10 +58,16 @@ def prepare_corpus(spark: SparkSession, rows: Callable[[], DataFrame], corpus: C
     return spark.read.parquet(base)
 
 
-def prepare_all(jobs: dict[str, Callable[[], DataFrame]], attempts: int = 3, wait: float = 60.0) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Runs jobs one after the other; what fails is tried again, except on ValueError. (results, errors)."""
+def prepare_all(jobs: dict[str, Callable[[], DataFrame]], attempts: int = 3, wait: float = 60.0, probes: dict[str, Callable[[], DataFrame]] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Runs jobs one after the other; what fails is tried again, except on ValueError. (results, errors). A job whose probe (a function
+    that returns its source's rows) yields nothing readable is not begun."""
     done, failed = {}, {}
     for name, job in jobs.items():
+        if probes and name in probes:
+            there, why = reachable(probes[name])
+            if not there:
+                failed[name] = why
+                continue
         for k in range(attempts):
             try:
                 done[name] = job()

@@ -44,6 +44,13 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def check_space(spark: SparkSession, path: str, least: int) -> None:
+    """An error if the store that holds path says it has fewer than `least` bytes left; a store without limits says so too."""
+    where, fs = _path(spark, path)
+    if (left := fs.getStatus(where).getRemaining()) < least:
+        raise ValueError(f"{left} bytes are left at {path}; {least} are needed")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where, fs = _path(spark, path)
     fs.delete(where, True)

@@ -192,6 +192,15 @@ def test_corpus_build(spark, tmp_path):
     assert done == {"ok": 1} and set(failed) == {"bad", "wrong"}
 
 
+def test_builds_probe_sources_and_space(spark, tmp_path):
+    probes = {"no": lambda: spark.read.parquet(str(tmp_path / "nosuch")), "yes": lambda: spark.range(1)}
+    done, failed = build.prepare_all({"no": lambda: 1 / 0, "yes": lambda: 2, "free": lambda: 3}, wait=0, probes=probes)
+    assert done == {"yes": 2, "free": 3} and set(failed) == {"no"} and "division" not in failed["no"]
+    sinks.check_space(spark, str(tmp_path), 1)
+    with pytest.raises(ValueError, match="are needed"):
+        sinks.check_space(spark, str(tmp_path), 1 << 60)
+
+
 def test_builds_write_audio_that_opens(spark, tmp_path):
     def opens(rows):
         rates = [decode_wav(open(r["audio_path"], "rb").read()) for r in rows.collect()]
