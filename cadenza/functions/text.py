@@ -52,10 +52,13 @@ def _table(full: bool) -> Column:
     return F.split(F.lit("|".join(below_thousand(n, full) for n in range(1000))), r"\|")
 
 
-def number_words(digits: Column) -> Column:
-    """Digits (a string) of a number below 10^12 in words; of larger ones, the digits as they are."""
+def number_words(digits: Column, last_twelve: bool = False) -> Column:
+    """Digits (a string) of a number below 10^12 in words; of larger ones, the digits as they are.
+
+    With last_twelve, larger ones are read too, by their last twelve digits with all hundreds. Null is empty.
+    """
     bare = F.regexp_replace(digits, "^0+", "")
-    padded = F.lpad(bare, 12, "0")
+    padded = F.substring(F.concat(F.lit("0" * 12), bare), -12, 12)
     part = lambda k: F.substring(padded, 10 - 3 * k, 3).cast("int")  # noqa: E731  group k, from the units up
     out = []
     for k in (3, 2, 1, 0):
@@ -64,7 +67,8 @@ def number_words(digits: Column) -> Column:
         scaled = F.concat(words, F.lit(f" {SCALES[k]}")) if SCALES[k] else words
         out.append(F.when((part(k) > 0) & (F.length(bare) > 3 * k), scaled))
     said = F.concat_ws(" ", *out)
-    return F.when(F.length(bare) > 12, digits).when(bare == "", DIGITS[0]).otherwise(said)
+    words = F.when(bare == "", DIGITS[0]).otherwise(said)
+    return words if last_twelve else F.when(F.length(bare) > 12, digits).otherwise(words)
 
 
 def digit_words(digits: Column) -> Column:

@@ -49,6 +49,13 @@ def test_number_words(spark):
     assert apply(spark, [str(v) for v in values], text.number_words) == [spelled(v) for v in values]
 
 
+def test_number_words_of_twelve_digits_and_more(spark):
+    values = ["999999999999", "1000000000000", "0001000000000005", "7001002003004", "000000000000007", "0000000000000", None]
+    assert apply(spark, values, text.number_words) == [spelled(10**12 - 1), *values[1:4], "bảy", "không", ""]
+    said = ["", "không trăm lẻ năm", "không trăm lẻ một tỷ không trăm lẻ hai triệu không trăm lẻ ba nghìn không trăm lẻ bốn"]
+    assert apply(spark, values, lambda c: text.number_words(c, last_twelve=True)) == [spelled(10**12 - 1), *said, "bảy", "không", ""]
+
+
 def test_capitals_buckets_and_clock(spark):
     assert apply(spark, ["VÀ NẾU BẠN", "Xin Chào", "123", "", None, "ABCDe"], text.fold_capitals) == ["và nếu bạn", "Xin Chào", "123", "", None, "ABCDe"]
     assert apply(spark, [4.99, 5.0, 30.0, 30.1, 60.0, 60.1], text.bucket) == ["0-5", "5-30", "5-30", "30-60", "30-60", "60+"]
